@@ -31,8 +31,8 @@ from stepweave.llm.textnp import counted, distinct, ngrams, words
 
 #: Verifying a pair costs as much as so many postings.
 VERIFY_COST = 20
-LONGEST = 8
-#: N-grams whose frequency counts in the order; the others are rarer.
+LONGEST = 12
+#: N-grams whose own frequency counts in the order; the others are rarer and have an average one.
 FREQUENT = 65_000
 POSTINGS_PER_BUCKET = 3_000_000
 #: Verified pairs whose groups one task finds; beyond it a distributed algorithm does.
@@ -49,22 +49,23 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = twice = pieces = 0
         for b in slices(batches):
             keys, bounds = _sets(texts_of(b), n)
-            total += len(keys)
+            total, pieces = total + len(keys), pieces + 1
             grams, counts = counted(np.sort(keys & _48))
             often = counts >= 3
+            twice += int((counts == 2).sum()) * 2
             yield pa.record_batch({"gram": pa.array(grams[often].astype(np.int64)), "docs": pa.array(counts[often].astype(np.int64))})
-        yield pa.record_batch({"gram": pa.array([-1], pa.int64()), "docs": pa.array([total], pa.int64())})
+        yield pa.record_batch({"gram": pa.array([-1, -2, -3], pa.int64()), "docs": pa.array([total, twice, pieces], pa.int64())})
 
     return run
 
 
-def _choose(sizes: np.ndarray, bounds: np.ndarray, freq: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's l and its prefix's length. freq: of the n-grams in order."""
+def _choose(sizes: np.ndarray, bounds: np.ndarray, others: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's l and its prefix's length. others: how many other texts have each of the n-grams in order, as estimated."""
     need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-    total = np.concatenate([[0.0], np.cumsum(freq - 1.0)])
+    total = np.concatenate([[0.0], np.cumsum(others)])
     begin, best, ell = bounds[:-1], np.full(len(sizes), np.inf), np.ones(len(sizes), dtype=np.int64)
     for l in range(1, LONGEST + 1):
         length = np.minimum(sizes - need + l, sizes)
@@ -77,7 +78,7 @@ def _choose(sizes: np.ndarray, bounds: np.ndarray, freq: np.ndarray, threshold:
 
 def _prefixes(n: int, threshold: float, frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, freqs = frequent.value  # n-grams in order, and their frequencies
+        grams, freqs, rare = frequent.value  # n-grams in order, and how many other texts have each, or one that isn't there
         by_freq = np.argsort(freqs, kind="stable")
         rank = np.empty(len(grams), dtype=np.uint64)
         rank[by_freq] = np.arange(1, len(grams) + 1, dtype=np.uint64)
@@ -85,7 +86,7 @@ def _prefixes(n: int, threshold: float, frequent, buckets: int):
             ids = b.column("id").to_numpy(zero_copy_only=False)
             keys, bounds = _sets(texts_of(b), n)
             gram, doc = keys & _48, keys >> np.uint64(48)
-            freq, order = np.ones(len(gram)), np.zeros(len(gram), dtype=np.uint64)
+            freq, order = np.full(len(gram), rare), np.zeros(len(gram), dtype=np.uint64)
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                 known = grams[at] == gram
@@ -266,11 +267,12 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     spark = docs.sparkSession
     docs = _inputs(docs, id_col, text_col)
     counts = docs.select("text").mapInArrow(_frequencies(n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    top = counts.orderBy(F.col("gram") != -1, F.desc("docs"), "gram").limit(FREQUENT + 1).toPandas()
-    total = int(top.loc[top.gram == -1, "docs"].sum())
-    top = top[top.gram != -1].sort_values("gram")
+    top = counts.orderBy(F.col("gram") >= 0, F.desc("docs"), "gram").limit(FREQUENT + 3).toPandas()
+    total, twice, pieces = (int(top.loc[top.gram == k, "docs"].sum()) for k in (-1, -2, -3))
+    top = top[top.gram >= 0].sort_values("gram")
+    rare = twice / max(total, 1) * pieces + 1e-6  # the chance to meet in one piece of the texts, over all pieces
     buckets = max(1, math.ceil(total * min(1.0, 1 - threshold + 0.02) / POSTINGS_PER_BUCKET))
-    frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64)))
+    frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64) - 1, rare))
     schema = "bucket int, token binary, doc binary, ids binary, sizes binary, ells binary"
     postings = cut(docs.mapInArrow(_prefixes(n, threshold, frequent, buckets), schema).repartition(buckets, "bucket"))
     pair_schema = "a long, b long, hits long, need int"
