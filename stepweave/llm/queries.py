@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import jaccard_join
+from stepweave.llm import jaccard_join, line_dedup
 from stepweave.llm.common import table
 from stepweave.session import ship
 
@@ -48,9 +48,28 @@ SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FRO
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three and more sources have, but where such a line comes first."""
+    cleaned = line_dedup.remove_spread_lines(table(ship(spark), sf_dir, "documents"), min_sites=3, min_chars=10, removed_col="n_removed")
+    return cleaned.select("doc_id", "text", "n_removed")
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
+), s AS (
+  SELECT trim(line, ' ') AS bare, min((doc_id, place)) AS first FROM l WHERE length(trim(line, ' ')) >= 10
+  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0))) >= 3
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (first IS NULL OR first = (doc_id, place)), '') AS text,
+       CAST(count(*) FILTER (first IS NOT NULL AND first <> (doc_id, place)) AS INTEGER) AS n_removed
+FROM l LEFT JOIN s ON trim(line, ' ') = bare GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_line_dedup": op3_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_line_dedup": OP3_SQL}
