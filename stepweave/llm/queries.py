@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import jaccard_join, line_dedup
+from stepweave.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from stepweave.llm.common import table
 from stepweave.session import ship
 
@@ -67,8 +67,25 @@ FROM l LEFT JOIN s ON trim(line, ' ') = bare GROUP BY doc_id
 """
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, and whether decoding them gives the text again."""
+    return bpe.encode_documents(table(ship(spark), sf_dir, "documents"), keep=["doc_id"], check=True)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score and verdict, by a lexicon that the labelled documents extend."""
+    docs = table(ship(spark), sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs.select("doc_id", "text"), lexicon).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a benchmark item and a document that holds a phrase of it or most of its rarest words close together."""
+    return decontaminate.benchmark_matches(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_line_dedup": op3_line_dedup}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_line_dedup, op4_byte_bpe, op5_toxicity, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

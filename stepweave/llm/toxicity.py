@@ -2,7 +2,7 @@
 
 The lexicon is a trie of words and of stems (which any ending may follow). A Levenshtein automaton over it - states are
 sets of (trie node, edits so far) - is determinised as words ask for it; many words walk through it at once, each by one
-array look-up a character. Words of four letters and fewer must be exact, stems of fewer than six as well.
+array look-up a character. Words of four letters and fewer, stems and learned words must be exact.
 
 A found term weighs less the more it is edited, more near a word of address, and counts as quotation inside quotation
 marks or just after a word of report. Quotations alone never make a text toxic.
@@ -19,6 +19,7 @@ replace those of the same name.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -45,16 +46,15 @@ QUOTED_MOST = 0.4
 
 @dataclass
 class Lexicon:
-    """Weights of words and stems; own: forms that look like an edited term but are words of their own."""
+    """Weights of words and stems; own: forms that look like an edited term but are words of their own; exact: terms that edits don't fit."""
 
     terms: dict[str, float] = field(default_factory=lambda: dict.fromkeys(BUILT_IN, 1.0))
     stems: dict[str, float] = field(default_factory=dict)
     own: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
 
 
-def edits_allowed(term: str, stem: bool) -> int:
-    if stem:
-        return 0 if len(term) < 6 else 1
+def edits_allowed(term: str) -> int:
     return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
 
 
@@ -86,7 +86,7 @@ class Matcher:
         self.start = self._state(self._closed({(0, 0)}))
 
     def _add(self, term: str, weight: float, stem: bool) -> None:
-        allowed, node = edits_allowed(term, stem), 0
+        allowed, node = 0 if stem or term in self.lexicon.exact else edits_allowed(term), 0
         self.most[0] = max(self.most[0], allowed)
         for c in term:
             if c not in self.children[node]:
@@ -282,12 +282,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     counts = texts.mapInArrow(_counter(shared, Matcher(lexicon)), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     by = {r.key: (r.toxic, r.clean) for r in counts}
     all_toxic, all_clean = by.get("*", (0, 0))
-    # a term is at least a hundred times as likely in a toxic text as in a clean one
-    good = {k: t for k, (t, c) in by.items() if k in contexts and (c + 0.02) * max(all_toxic, 1) * 100 <= t * max(all_clean, 1)}
+    # a term is at least a hundred times as likely in a toxic text as in a clean one, and not by chance among so many candidates
+    rate = all_toxic / max(all_toxic + all_clean, 1)
+    good = {k: t for k, (t, c) in by.items() if k in contexts and (c + 0.02) * max(all_toxic, 1) * 100 <= t * max(all_clean, 1) and _evidence(min(t, contexts[k][0]), c, rate) > math.log(1000 * len(contexts))}
     stems = _stems({k[1:]: contexts[k] for k in good if k[0] == "<"})
     terms = [k[1:] for k in good if k[0] == "=" and not any(k[1:].startswith(s) for s in stems) and not any(f"<{k[1:][:n]}" in stems for n in range(4, 8))]
     own = {k[1:] for k, (t, c) in by.items() if k[0] == "~" and c and c * max(all_toxic, 1) * 10 > t * max(all_clean, 1)}
-    return Lexicon(lexicon.terms | dict.fromkeys(terms, 1.0), dict.fromkeys(stems, 1.0), frozenset(own))
+    new = frozenset(terms) - set(lexicon.terms)
+    return Lexicon(lexicon.terms | dict.fromkeys(new, 1.0), dict.fromkeys(stems, 1.0), frozenset(own), new)
+
+
+def _evidence(toxic: int, clean: int, rate: float) -> float:
+    """Times how unlikely such a share of toxic texts is at the given rate, as a logarithm."""
+    n, p = toxic + clean, toxic / max(toxic + clean, 1)
+    if p <= rate or not 0 < rate < 1:
+        return 0.0
+    return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0))
 
 
 def _stems(found: dict[str, tuple[int, int]]) -> list[str]:
