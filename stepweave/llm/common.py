@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of a long key that may be broadcast; beyond it a shuffled join does the same.
 BROADCAST_ROWS = 1_000_000
 #: Characters that are handled at once in a Python worker.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

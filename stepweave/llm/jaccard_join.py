@@ -34,7 +34,7 @@ VERIFY_COST = 20
 LONGEST = 12
 #: N-grams whose own frequency counts in the order; the others are rarer and have an average one.
 FREQUENT = 65_000
-POSTINGS_PER_BUCKET = 3_000_000
+POSTINGS_PER_BUCKET = 1_500_000
 #: Verified pairs whose groups one task finds; beyond it a distributed algorithm does.
 ONE_TASK_EDGES = 5_000_000
 _48 = np.uint64((1 << 48) - 1)
@@ -274,7 +274,7 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     buckets = max(1, math.ceil(total * min(1.0, 1 - threshold + 0.02) / POSTINGS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64) - 1, rare))
     schema = "bucket int, token binary, doc binary, ids binary, sizes binary, ells binary"
-    postings = cut(docs.mapInArrow(_prefixes(n, threshold, frequent, buckets), schema).repartition(buckets, "bucket"))
+    postings = cut(docs.mapInArrow(_prefixes(n, threshold, frequent, buckets), schema).repartitionById(buckets, "bucket"))
     pair_schema = "a long, b long, hits long, need int"
     none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
     if all_pairs:
