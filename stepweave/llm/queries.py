@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from stepweave.llm import bpe, decontaminate, fingerprints, jaccard_join, language_id, license_scan, line_dedup, pii, secret_scan, toxicity
 from stepweave.llm.common import table
 from stepweave.session import ship
 
@@ -48,6 +48,18 @@ SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FRO
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents' blobs, joined back to every path that has the blob."""
+    return secret_scan.scan_documents(table(ship(spark), sf_dir, "documents"))
+
+
+OP2_SQL = (
+    "WITH b AS (SELECT DISTINCT concat(coalesce(source, ''), '/', CAST(doc_id AS VARCHAR)) AS path, '1' AS version, text, sha256(text) AS blob FROM documents WHERE text IS NOT NULL), f AS ("
+    + " UNION ALL ".join(f"SELECT path, version, blob, '{r.name}' AS rule, CAST({r.version} AS INTEGER) AS rule_version, unnest(regexp_extract_all(text, '{r.pattern.replace(chr(39), chr(39) * 2)}')) AS found FROM b" for r in secret_scan.RULES)
+    + ") SELECT path, version, blob, rule, rule_version, sha256(found) AS secret, count(*) AS n FROM f GROUP BY ALL"
+)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that three and more sources have, but where such a line comes first."""
     cleaned = line_dedup.remove_spread_lines(table(ship(spark), sf_dir, "documents"), min_sites=3, min_chars=10, removed_col="n_removed")
@@ -79,14 +91,95 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs.select("doc_id", "text"), lexicon).drop("text")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's root, the first document with the same, and what it changes of an earlier one that it is an edit of."""
+    return fingerprints.fingerprints(table(ship(spark), sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda s: list_filter(list_transform(string_split(s, chr(10)), lambda p: trim(replace(replace(p, chr(13), ' '), chr(9), ' '), ' ')), lambda p: p <> '')), lambda s: len(s) > 0) AS sections
+  FROM documents WHERE doc_id IS NOT NULL
+), h AS (
+  SELECT doc_id, sections, list_transform(sections, lambda s: list_transform(s, lambda p: sha256('p' || p))) AS leaves FROM p
+), n AS (
+  SELECT *, list_transform(leaves, lambda s: sha256('s' || array_to_string(s, ''))) AS nodes FROM h
+), t AS (
+  SELECT *, sha256('r' || array_to_string(nodes, '')) AS root FROM n
+), f AS (
+  SELECT root, min(doc_id) AS same_as FROM t WHERE root IS NOT NULL GROUP BY root
+), l AS (
+  SELECT doc_id, leaf, count(*) OVER (PARTITION BY doc_id) AS n FROM (
+    SELECT DISTINCT doc_id, sha256('p' || par) AS leaf FROM (SELECT doc_id, unnest(flatten(sections)) AS par FROM p) WHERE length(par) >= 20)
+), lf AS (
+  SELECT leaf, min(doc_id) AS first FROM l GROUP BY leaf
+), c AS (
+  SELECT l.doc_id, n, first, count(*) AS shared FROM l JOIN lf USING (leaf) WHERE first < l.doc_id GROUP BY ALL
+), b AS (
+  SELECT doc_id, first AS base_id FROM c WHERE shared >= 0.5 * n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, first) = 1
+), e AS (
+  SELECT x.doc_id, b.base_id, x.leaves AS mine, y.leaves AS other, x.nodes AS mine_nodes, y.nodes AS other_nodes
+  FROM t x JOIN f ON x.root = f.root AND x.doc_id = f.same_as JOIN b ON b.doc_id = x.doc_id JOIN t y ON y.doc_id = b.base_id
+), d AS (
+  SELECT doc_id, base_id,
+    flatten(list_transform(range(1, len(mine) + 1), lambda i: CASE WHEN list_contains(other_nodes, mine_nodes[i]) THEN [] ELSE list_transform(list_filter(range(1, len(mine[i]) + 1), lambda j: NOT list_contains(flatten(other), mine[i][j])), lambda j: i || '.' || j) END)) AS changed,
+    flatten(list_transform(range(1, len(other) + 1), lambda i: CASE WHEN list_contains(mine_nodes, other_nodes[i]) THEN [] ELSE list_transform(list_filter(range(1, len(other[i]) + 1), lambda j: NOT list_contains(flatten(mine), other[i][j])), lambda j: i || '.' || j) END)) AS removed
+  FROM e
+)
+SELECT t.doc_id, t.root, CAST(coalesce(len(sections), 0) AS INTEGER) AS n_sections, CAST(coalesce(len(flatten(sections)), 0) AS INTEGER) AS n_paragraphs, f.same_as, d.base_id, d.changed, d.removed
+FROM t LEFT JOIN f USING (root) LEFT JOIN d ON d.doc_id = t.doc_id
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language and the confidence, by a model of a sample of the labelled ones."""
+    docs = table(ship(spark), sf_dir, "documents")
+    return language_id.identify(docs.select("doc_id", "lang", "text"), language_id.fit(docs)).drop("text")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and blocks of all documents that hold a license template."""
+    return license_scan.license_matches(table(ship(spark), sf_dir, "documents"))
+
+
+_TEMPLATE_ROWS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())
+OP8_SQL = rf"""
+WITH v(template, words) AS (VALUES {_TEMPLATE_ROWS}), t AS (
+  SELECT template, list_distinct(regexp_extract_all(lower(words), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS ws FROM v
+), d AS (
+  SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d
+), r AS (
+  SELECT *, count(*) FILTER (regexp_full_match(line, '\s*')) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM l
+), k AS (
+  SELECT doc_id, run, place, 1 AS n_lines, line AS block FROM r
+  UNION ALL
+  SELECT doc_id, run, min(place), count(*), string_agg(line, chr(10) ORDER BY place) FROM r WHERE NOT regexp_full_match(line, '\s*') GROUP BY ALL HAVING count(*) > 1
+), m AS (
+  SELECT doc_id, run, place, n_lines, template, len(list_intersect(ws, list_distinct(regexp_extract_all(lower(block), '[\p{{L}}\p{{N}}\p{{M}}]+')))) AS shared, len(ws) AS n FROM k, t
+), f AS (
+  SELECT * FROM m WHERE shared >= ceil({license_scan.THRESHOLD} * n - 1e-9)
+)
+SELECT doc_id, CAST(place AS INTEGER) AS line, CAST(n_lines AS INTEGER) AS n_lines, template, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS template_words FROM f
+WHERE n_lines = 1 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.run = f.run AND g.template = f.template AND g.n_lines = 1)
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a benchmark item and a document that holds a phrase of it or most of its rarest words close together."""
     return decontaminate.benchmark_matches(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without personal values and without the terms that disclose them."""
+    return pii.sanitise(table(ship(spark), sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_line_dedup, op4_byte_bpe, op5_toxicity, op9_decontamination)}
+    every = (op1_ngram_jaccard_join, op2_secret_scan, op3_line_dedup, op4_byte_bpe, op5_toxicity, op6_fingerprints, op7_language_id, op8_license_scan, op9_decontamination, op10_pii)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_fingerprints": OP6_SQL, "op8_license_scan": OP8_SQL}
