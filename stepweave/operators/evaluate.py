@@ -31,7 +31,7 @@ class Protocol:
 
 
 def metrics(results: DataFrame) -> DataFrame:
-    """task (null: all), n_episodes, n_successes, success_rate, mean_reward, mean_steps; both levels in one pass."""
+    """task (null: all), n_episodes, n_successes, success_rate, mean_reward, mean_steps; both levels in one pass. No results: no rows."""
     agg = results.groupingSets([["task"], []], "task").agg(
         F.grouping("task").alias("_all"), F.count("episode_idx").alias("n_episodes"), F.count_if("success").alias("n_successes"), F.avg("total_reward").alias("mean_reward"), F.avg("num_steps").alias("mean_steps"))
     rate = F.when(F.col("n_episodes") > 0, F.col("n_successes") / F.col("n_episodes")).otherwise(0.0)
@@ -42,5 +42,5 @@ def save(results: DataFrame, path: str) -> None:
     """results as CSV, and summary.json."""
     results.write.mode("overwrite").option("header", True).csv(f"{path}/results")
     rows = [r.asDict() for r in metrics(results).orderBy(F.col("task").asc_nulls_last()).collect()]  # as many as there are tasks
-    overall = next(r for r in rows if r["task"] is None)
+    overall = next((r for r in rows if r["task"] is None), {"task": None, "n_episodes": 0, "n_successes": 0, "success_rate": 0.0, "mean_reward": 0.0, "mean_steps": 0.0})
     Path(path, "summary.json").write_text(json.dumps({"overall": overall, "tasks": {r["task"]: r for r in rows if r["task"] is not None}}, indent=2))

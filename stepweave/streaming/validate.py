@@ -14,7 +14,7 @@ RESULT = "episode_id string, num_steps long, n_first long, n_last long, goes_bac
 _STATE = "num_steps long, n_first long, n_last long, goes_back long, out_of_place long, last_ts double, last_step long, closed boolean, late long"
 
 
-def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
     n, first, last, back, misplaced, ts, step, closed, late = state.get if state.exists else (0, 0, 0, 0, 0, float("-inf"), -1, False, 0)
     if state.hasTimedOut:
         state.remove()
@@ -31,7 +31,8 @@ def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState)
         back, misplaced = back + (r.timestamp < ts), misplaced + (r.step_index != step + 1)
         ts, step, closed = r.timestamp, r.step_index, bool(r.is_last)
     state.update((n, first, last, back, misplaced, float(ts), int(step), closed, late))
-    state.setTimeoutDuration(600_000)
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
     if closed and (not was or late):
         yield _row(key[0], n, first, last, back, misplaced, True, late)
 
@@ -40,13 +41,15 @@ def _row(*values: Any) -> pd.DataFrame:
     return pd.DataFrame([values], columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
-def validate_stream(steps: DataFrame) -> DataFrame:
-    """A row for each episode once its last step has come (and again if steps come later: late), or when it times out.
+def validate_stream(steps: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """A row for each episode once its last step has come, and again if steps come later (late).
 
-    steps: a stream of episode_id, step_index, is_first, is_last, timestamp. State: a few numbers an open episode.
+    steps: a stream of episode_id, step_index, is_first, is_last, timestamp. State: a few numbers an episode. With a
+    timeout an episode that gets no steps for so long ends as incomplete and its state goes; the query then never idles.
     """
     narrow = steps.select("episode_id", "step_index", "is_first", "is_last", "timestamp")
-    return narrow.groupBy("episode_id").applyInPandasWithState(_advance, RESULT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return narrow.groupBy("episode_id").applyInPandasWithState(lambda k, p, s: _advance(k, p, s, timeout_ms), RESULT, _STATE, "update", kind)
 
 
 def window_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
