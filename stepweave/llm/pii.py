@@ -42,7 +42,7 @@ MIN_TERM = 3
 
 _MAIL_LEFT = re.compile(r"[\w.+%-]{1,64}\Z")
 _MAIL_RIGHT = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
-_NUMBER = re.compile(r"(?<![\w.,:/+-])[+(]?\d[\d ().-]{5,24}\d(?![\w])|(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_NUMBER = re.compile(r"(?<!\w)(?<!\d[.,:/-])[+(]?\d[\d ().-]{5,}\d(?!\w)|(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}")
 _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
@@ -86,7 +86,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         # several numbers may stand side by side
         place = 0
         while place < len(value):
-            if place and (value[place - 1].isdigit() or value[place].isspace()):
+            if place and (value[place - 1].isdigit() or value[place].isspace() or value[place - 1] == "."):
                 place += 1
                 continue
             for pattern, kind in _KINDS:
