@@ -4,7 +4,9 @@ A text's n-grams are ordered from rare to frequent, the same way everywhere. If
 Jaccard similarity of at least T, they share at least l n-grams among the first s - ceil(T s) + l of the one and the
 first t - ceil(T t) + l of the other, for every l up to ceil(T s) and ceil(T t). Each text chooses its own l: a longer
 prefix brings more postings, but fewer pairs that share l of them and have to be verified; the l with the least
-estimated cost wins. A pair of l and m must share min(l, m). The pairs that pass are verified on whole n-gram sets.
+estimated cost wins. A pair of l and m must share min(l, m), and since a pair must have ceil(T (s + t) / (1 + T)) n-grams
+in common, only shared ones count that are so near the begin of both that as many may follow: the same lemma for these two
+sizes. The pairs that pass are verified on whole n-gram sets.
 
 The order uses n-gram frequencies estimated over all texts; it decides how much work is done, never what is found.
 
@@ -95,26 +97,27 @@ def _prefixes(n: int, threshold: float, frequent, buckets: int):
             gram, doc, freq = gram[perm], doc[perm].astype(np.int64), freq[perm]
             sizes = np.diff(bounds)
             ell, length = _choose(sizes, bounds, freq, threshold)
-            take = (np.arange(len(gram)) - bounds[doc]) < length[doc]
-            gram, doc = gram[take], doc[take]
+            place = np.arange(len(gram)) - bounds[doc]
+            take = place < length[doc]
+            gram, doc, place = gram[take], doc[take], place[take]
+            place = place * 65535 // np.maximum(sizes[doc], 65535)  # of texts of more n-grams rounded down
             bucket, token = (gram % np.uint64(buckets)).astype(np.int64), ((gram // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             perm = np.argsort(bucket, kind="stable")
-            bucket, token, doc = bucket[perm], token[perm], doc[perm]
+            bucket, token, doc, place = bucket[perm], token[perm], doc[perm], place[perm].astype(np.uint16)
             there, many = counted(bucket)
             firsts = np.cumsum(many) - many
-            out = {k: [] for k in ("token", "doc", "ids", "sizes", "ells")}
+            out = {k: [] for k in ("token", "doc", "place", "ids", "sizes", "ells")}
             for i, j in zip(firsts, [*firsts[1:], len(bucket)], strict=True):
                 docs, many = counted(doc[i:j])
-                for k, v in (("token", token[i:j]), ("doc", np.repeat(np.arange(len(docs), dtype=np.uint16), many)), ("ids", ids[docs].astype(np.int64)), ("sizes", sizes[docs].astype(np.int32)), ("ells", ell[docs].astype(np.uint8))):
+                for k, v in (("token", token[i:j]), ("doc", np.repeat(np.arange(len(docs), dtype=np.uint16), many)), ("place", place[i:j]), ("ids", ids[docs].astype(np.int64)), ("sizes", sizes[docs].astype(np.int32)), ("ells", ell[docs].astype(np.uint8))):
                     out[k].append(v.tobytes())
             yield pa.record_batch({"bucket": pa.array(there.astype(np.int32))} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     return run
 
 
-def _pairs(run: np.ndarray, first: np.ndarray, count: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j), i < j, of positions within each run, a bounded number at a time."""
-    left = np.repeat(first + count, count) - np.arange(len(run)) - 1 if len(run) else run  # partners after each position
+def _pairs(left: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each i with the left[i] positions after it, a bounded number at a time."""
     total = np.cumsum(left)
     begin = 0
     while begin < len(left):
@@ -130,6 +133,8 @@ def _pairs(run: np.ndarray, first: np.ndarray, count: np.ndarray, most: int = 2_
 def _candidates(threshold: float, star: bool, labels):
     """Of each bucket: pairs with the n-grams that they share there. star: with the smallest doc_id only; else those of different labels."""
 
+    share = threshold / (1 + threshold)
+
     def bucket(rows: list[dict]) -> pa.RecordBatch | None:
         ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
@@ -137,18 +142,25 @@ def _candidates(threshold: float, star: bool, labels):
         firsts = np.cumsum([0] + [len(r["ids"]) // 8 for r in rows[:-1]])
         doc = np.concatenate([np.frombuffer(r["doc"], np.uint16).astype(np.int64) + f for r, f in zip(rows, firsts, strict=True)])
         token = np.concatenate([np.frombuffer(r["token"], np.uint32) for r in rows])
+        place = np.concatenate([np.frombuffer(r["place"], np.uint16) for r in rows]).astype(np.int64)
         order = np.lexsort((sizes, ids)) if star else np.lexsort((ids, sizes))
         rank = np.empty(len(ids), dtype=np.uint64)
         rank[order] = np.arange(len(ids), dtype=np.uint64)
         ids, sizes, ells = ids[order], sizes[order], ells[order]
-        keys = np.sort((token.astype(np.uint64) << np.uint64(32)) | rank[doc])
+        keys = (token.astype(np.uint64) << np.uint64(32)) | rank[doc]
+        perm = np.argsort(keys)
+        keys = keys[perm]
         token, doc = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = place[perm] * np.maximum(sizes[doc], 65535) // 65535
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.concatenate([first, [len(token)]]))
         found: dict[str, np.ndarray] = {"k": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64)}
 
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            fit = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & (ids[a] != ids[b])
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            a, b = doc[i], doc[j]
+            s, t = sizes[a].astype(np.int64), sizes[b].astype(np.int64)
+            spare = np.minimum(ells[a], ells[b]) - np.ceil(share * (s + t) - 1e-9).astype(np.int64)
+            fit = (place[i] < s + spare) & (place[j] < t + spare) & (np.minimum(s, t) >= threshold * np.maximum(s, t) - 1e-9) & (ids[a] != ids[b])
             k, n = counted(np.sort((a[fit].astype(np.uint64) << np.uint64(32)) | b[fit].astype(np.uint64)))
             if len(found["k"]):
                 k, n = np.concatenate([found["k"], k]), np.concatenate([found["n"], n])
@@ -161,9 +173,9 @@ def _candidates(threshold: float, star: bool, labels):
         keep = count > 1
         if star:
             first, count = first[keep], count[keep]
-            pivot = np.repeat(doc[first], count - 1)
-            other = np.repeat(first + 1, count - 1) + (np.arange(len(pivot)) - np.repeat(np.cumsum(count - 1) - (count - 1), count - 1))
-            add(pivot, doc[other])
+            pivot = np.repeat(first, count - 1)
+            other = pivot + 1 + (np.arange(len(pivot)) - np.repeat(np.cumsum(count - 1) - (count - 1), count - 1))
+            add(pivot, other)
         else:
             label = ids.copy()
             known, to = labels.value
@@ -174,12 +186,14 @@ def _candidates(threshold: float, star: bool, labels):
             of = label[doc]
             keep &= np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
             mine = np.repeat(keep, count)
-            doc, count = doc[mine], count[keep]
-            first = np.cumsum(count) - count
-            for i, j in _pairs(doc, first, count):
-                a, b = doc[i], doc[j]
-                other = label[a] != label[b]
-                add(a[other], b[other])
+            doc, place, of = doc[mine], place[mine], of[mine]
+            # a run's texts go by size: partners are those after a text up to the largest that its size and place allow
+            s, run = sizes[doc].astype(np.int64), np.repeat(np.arange(int(keep.sum())), count[keep]) << 32
+            most = np.minimum(s / threshold, (s + ells[doc] - place - 1) / share - s + 1e-6)
+            left = np.searchsorted(run | s, run | np.floor(np.maximum(most, 0) + 1e-6).astype(np.int64), side="right") - np.arange(len(s)) - 1
+            for i, j in _pairs(np.maximum(left, 0)):
+                other = of[i] != of[j]
+                add(i[other], j[other])
         if not len(found["k"]):
             return None
         a, b = (found["k"] >> np.uint64(32)).astype(np.int64), (found["k"] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -273,7 +287,7 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     rare = twice / max(total, 1) * pieces + 1e-6  # the chance to meet in one piece of the texts, over all pieces
     buckets = max(1, math.ceil(total * min(1.0, 1 - threshold + 0.02) / POSTINGS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64) - 1, rare))
-    schema = "bucket int, token binary, doc binary, ids binary, sizes binary, ells binary"
+    schema = "bucket int, token binary, doc binary, place binary, ids binary, sizes binary, ells binary"
     postings = cut(docs.mapInArrow(_prefixes(n, threshold, frequent, buckets), schema).repartitionById(buckets, "bucket"))
     pair_schema = "a long, b long, hits long, need int"
     none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
