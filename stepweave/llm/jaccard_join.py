@@ -11,7 +11,7 @@ sizes. The pairs that pass are verified on whole n-gram sets.
 The order uses n-gram frequencies estimated over all texts; it decides how much work is done, never what is found.
 
 Groups need no quadratic number of pairs: a first round pairs the texts under an n-gram with the smallest doc_id only;
-a second one pairs all texts that the first one hasn't joined to the same one.
+a second one pairs all texts that the first one's pairs don't connect.
 
 Defined cases: null text or null doc_id: takes no part. No words: equal to other texts of no words. Fewer than n words:
 one n-gram of all of them. Rows of the same doc_id count as one document, with the n-grams of the row whose text is
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from stepweave.llm.common import cut, fits, semi, slices, texts_of
 from stepweave.llm.textnp import counted, distinct, ngrams, words
@@ -35,10 +36,14 @@ from stepweave.llm.textnp import counted, distinct, ngrams, words
 VERIFY_COST = 20
 LONGEST = 12
 #: N-grams whose own frequency counts in the order; the others are rarer and have an average one.
-FREQUENT = 65_000
+FREQUENT = 500_000
+#: N-grams that are counted together; those that are there less than three times in all such pieces count as rare.
+PIECE = 8_000_000
 POSTINGS_PER_BUCKET = 1_500_000
 #: Verified pairs whose groups one task finds; beyond it a distributed algorithm does.
 ONE_TASK_EDGES = 5_000_000
+#: Texts whose group so far is told to all tasks; beyond it the second round pairs without knowing.
+KNOWN_GROUPED = 4_000_000
 _48 = np.uint64((1 << 48) - 1)
 
 
@@ -51,14 +56,26 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = twice = pieces = 0
-        for b in slices(batches):
-            keys, bounds = _sets(texts_of(b), n)
-            total, pieces = total + len(keys), pieces + 1
-            grams, counts = counted(np.sort(keys & _48))
+        total = twice = pieces = held = 0
+        kept: list[np.ndarray] = []
+
+        def piece() -> pa.RecordBatch:
+            nonlocal twice, pieces, held
+            grams, counts = counted(np.sort(np.concatenate([*kept, np.zeros(0, np.uint64)])))
+            kept.clear()
+            held, pieces = 0, pieces + 1
             often = counts >= 3
             twice += int((counts == 2).sum()) * 2
-            yield pa.record_batch({"gram": pa.array(grams[often].astype(np.int64)), "docs": pa.array(counts[often].astype(np.int64))})
+            return pa.record_batch({"gram": pa.array(grams[often].astype(np.int64)), "docs": pa.array(counts[often].astype(np.int64))})
+
+        for b in slices(batches):
+            keys, _ = _sets(texts_of(b), n)
+            kept.append(keys & _48)
+            total, held = total + len(keys), held + len(keys)
+            if held >= PIECE:
+                yield piece()
+        if kept:
+            yield piece()
         yield pa.record_batch({"gram": pa.array([-1, -2, -3], pa.int64()), "docs": pa.array([total, twice, pieces], pa.int64())})
 
     return run
@@ -81,9 +98,9 @@ def _choose(sizes: np.ndarray, bounds: np.ndarray, others: np.ndarray, threshold
 def _prefixes(n: int, threshold: float, frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, freqs, rare = frequent.value  # n-grams in order, and how many other texts have each, or one that isn't there
-        by_freq = np.argsort(freqs, kind="stable")
-        rank = np.empty(len(grams), dtype=np.uint64)
-        rank[by_freq] = np.arange(1, len(grams) + 1, dtype=np.uint64)
+        # equal frequencies have one rank; there are 65,535 at most, in steps that are even where frequencies are low
+        levels = np.unique(freqs)
+        rank = (np.searchsorted(levels, freqs) * min(1.0, 65534 / max(len(levels), 1))).astype(np.uint64) + np.uint64(1)
         for b in slices(batches):
             ids = b.column("id").to_numpy(zero_copy_only=False)
             keys, bounds = _sets(texts_of(b), n)
@@ -281,7 +298,11 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     spark = docs.sparkSession
     docs = _inputs(docs, id_col, text_col)
     counts = docs.select("text").mapInArrow(_frequencies(n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    top = counts.orderBy(F.col("gram") >= 0, F.desc("docs"), "gram").limit(FREQUENT + 3).toPandas()
+    counts = cut(counts)
+    # the least frequency that counts, so that no task or driver has to sort n-grams; rows of one number each
+    by_docs = counts.where("gram >= 0").groupBy("docs").agg(F.count("*").alias("n")).orderBy(F.desc("docs")).withColumn("upto", F.sum("n").over(W.orderBy(F.desc("docs"))))
+    least = by_docs.where(F.col("upto") <= FREQUENT).agg(F.min("docs")).first()[0] or 1 << 62
+    top = counts.where((F.col("gram") < 0) | (F.col("docs") >= least)).toArrow().to_pandas()
     total, twice, pieces = (int(top.loc[top.gram == k, "docs"].sum()) for k in (-1, -2, -3))
     top = top[top.gram >= 0].sort_values("gram")
     rare = twice / max(total, 1) * pieces + 1e-6  # the chance to meet in one piece of the texts, over all pieces
@@ -294,10 +315,10 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     if all_pairs:
         return _verified(docs, postings.mapInArrow(_candidates(threshold, False, none), pair_schema), n, threshold)
     stars = _verified(docs, postings.mapInArrow(_candidates(threshold, True, None), pair_schema), n, threshold)
-    labels = stars.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    if fits(labels, 4 * 1_000_000):
-        known = labels.orderBy("id").toPandas()
-        labelled = spark.sparkContext.broadcast((known.id.to_numpy(np.int64), known.label.to_numpy(np.int64)))
+    labels = cut(components(stars))
+    if fits(labels, KNOWN_GROUPED):
+        known = labels.toArrow().to_pandas().sort_values("doc_id")
+        labelled = spark.sparkContext.broadcast((known.doc_id.to_numpy(np.int64), known.group_id.to_numpy(np.int64)))
     else:
         labelled = none
     rest = _verified(docs, postings.mapInArrow(_candidates(threshold, False, labelled), pair_schema), n, threshold)
