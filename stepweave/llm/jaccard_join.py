@@ -14,8 +14,8 @@ Groups need no quadratic number of pairs: a first round pairs the texts under an
 a second one pairs all texts that the first one's pairs don't connect.
 
 Defined cases: null text or null doc_id: takes no part. No words: equal to other texts of no words. Fewer than n words:
-one n-gram of all of them. Rows of the same doc_id count as one document, with the n-grams of the row whose text is
-first by order. Other columns are ignored.
+one n-gram of all of them. Rows of the same doc_id count as one document, with the n-grams of the row whose set is first
+by order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ PIECE = 8_000_000
 POSTINGS_PER_BUCKET = 1_500_000
 #: Verified pairs whose groups one task finds; beyond it a distributed algorithm does.
 ONE_TASK_EDGES = 5_000_000
+#: Texts that one task compares with the same one.
+PAIRS_A_TASK = 20_000
 #: Texts whose group so far is told to all tasks; beyond it the second round pairs without knowing.
 KNOWN_GROUPED = 4_000_000
 _48 = np.uint64((1 << 48) - 1)
@@ -233,27 +235,41 @@ def _gram_sets(n: int):
         for b in slices(batches):
             keys, bounds = _sets(texts_of(b), n)
             grams = keys & _48
-            yield pa.record_batch({"id": b.column("id"), "grams": pa.array([grams[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+            grams = pa.array([grams[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in ("a", "salt", "id")), grams], names=["a", "salt", "id", "grams"])
 
     return run
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
-            out.append(both / (len(x) + len(y) - both))
-        yield pa.record_batch({"a": b.column("a"), "b": b.column("b"), "jaccard": pa.array(out, pa.float64())})
+    """Rows come by a and salt, the set of a itself first; repeated rows of a document count as the first."""
+    key, own, last = None, np.zeros(0, np.uint64), None
+    for batch in batches:
+        out: list[tuple[int, int, float]] = []
+        ids, sets = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "grams"))
+        for a, salt, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids.to_pylist(), sets, strict=True):
+            if (a, salt, i) == last:
+                continue
+            last, x = (a, salt, i), np.frombuffer(x.as_buffer(), np.uint64)
+            if (a, salt) != key:
+                key, own = (a, salt), x
+                continue
+            both = len(own) + len(x) - len(distinct(np.sort(np.concatenate([own, x]))))
+            out.append((a, i, both / (len(own) + len(x) - both)))
+        columns = list(zip(*out, strict=True)) if out else ([], [], [])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "jaccard"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a < b) that are similar. A set is sent to each a that it is compared with, and no further."""
     pairs = cut(pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = semi(docs, ids, "id").mapInArrow(_gram_sets(n), "id long, grams binary")
-    a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
+    salts = pairs.groupBy("a").agg((F.count("*") / PAIRS_A_TASK).cast("int").alias("most"))
+    compared = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int").alias("salt"), F.col("b").alias("id"))
+    own = compared.select("a", "salt").distinct().withColumn("id", F.col("a"))
+    asked = cut(compared.union(own))
+    texts = docs.join(F.broadcast(asked) if fits(asked) else asked, "id").select("a", "salt", "id", "text")
+    sets = texts.mapInArrow(_gram_sets(n), "a long, salt int, id long, grams binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "id", "grams")
+    return cut(sets.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
