@@ -17,6 +17,7 @@ UTF-8: U+FFFD, once for each maximal invalid part. Other columns stay; result co
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -32,9 +33,9 @@ from stepweave.llm.common import slices, texts_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 300_000
-KEPT_STATES = 200_000
-_CLASSES: dict[str, str] = {}
+KEPT_PIECES = 500_000
+KEPT_STATES = 300_000
+_CLASSES: dict[tuple[str, int], str] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,21 +44,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def _class(prop: str) -> str:
-    """The characters of a Unicode property as the inside of a character class."""
-    if prop not in _CLASSES:
-        every = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
-        _CLASSES[prop] = "".join(f"\\U{ord(m.group()[0]):08x}-\\U{ord(m.group()[-1]):08x}" for m in regex.finditer(rf"\p{{{prop}}}+", every))
-    return _CLASSES[prop]
+def _class(prop: str, limit: int) -> str:
+    """The characters below limit of a Unicode property as the inside of a character class."""
+    if (prop, limit) not in _CLASSES:
+        every = "".join(map(chr, (i for i in range(limit) if not 0xD800 <= i < 0xE000)))
+        _CLASSES[prop, limit] = "".join(f"\\U{ord(m.group()[0]):08x}-\\U{ord(m.group()[-1]):08x}" for m in regex.finditer(rf"\p{{{prop}}}+", every))
+    return _CLASSES[prop, limit]
 
 
-def compile_pattern(pattern: str) -> re.Pattern:
-    """The pattern for the standard library's engine, which is the faster one but lacks Unicode properties: they become ranges."""
+def compile_pattern(pattern: str, limit: int = sys.maxunicode + 1) -> re.Pattern:
+    """The pattern for the standard library's engine, which is the faster one but lacks Unicode properties: they become ranges.
+
+    Right for texts of characters below limit; few ranges are faster than many.
+    """
     out, inside = [], False
     for token in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
         prop = "White_Space" if token in ("\\s", "\\S") else token[3:-1] if token.startswith("\\p{") else None
         if prop:
-            out.append(_class(prop) if inside else f"[{'^' * (token == chr(92) + 'S')}{_class(prop)}]")
+            chars = _class(prop, limit)
+            out.append(chars if inside else f"[{'^' * (token == chr(92) + 'S')}{chars}]")
         else:
             inside = token == "[" or inside and token != "]"
             out.append(token)
@@ -80,29 +85,32 @@ def merge(piece: bytes, ranks: dict[bytes, int], most: int = 1) -> list[int]:
 
 
 class Transducer:
-    """States are numbers; next[state][byte] is (state, emitted tokens)."""
+    """States are numbers; next[state << 8 | byte] is (state, emitted tokens)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        #: The tokens' trie: child[node << 8 | byte] is (node, the token's rank or -1, whether a longer token begins so).
+        node_of, more = {b"": 0}, {t[:k] for t in ranks for k in range(1, len(t))}
+        for x in sorted(more | ranks.keys(), key=len):
+            node_of[x] = len(node_of)
+        self.child = {node_of[x[:-1]] << 8 | x[-1]: (k, ranks.get(x, -1), x in more) for x, k in node_of.items() if x}
         self.reachable: dict[bytes, bool] = {}
         self.goes: dict[tuple[int, int], bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: A state: (bytes since the earliest prefix, pending tokens of that prefix and of each that is a byte longer).
-        self.states: list[tuple[bytes, tuple[tuple[int, ...] | None, ...], int | None]] = []
+        #: A state: (the trie node of what follows each live prefix, each one's pending tokens, the last token emitted if that matters).
+        self.states: list[tuple[tuple[int, ...], tuple[tuple[int, ...], ...], int | None]] = []
         self.known: dict[tuple, int] = {}
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state((b"", ((),), None))
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.start = self._state(((0,), ((),), None))
 
     def _state(self, key: tuple) -> int:
         if key not in self.known:
             self.known[key] = len(self.states)
             self.states.append(key)
-            self.next.append({})
         return self.known[key]
 
     def _parts(self, token: int) -> tuple[int, int]:
@@ -147,43 +155,46 @@ class Transducer:
         return fine
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        tail, pending, before = self.states[state]  # before: the last token emitted
-        tail += bytes((byte,))
-        new, live, first = None, [], -1
-        for i, p in enumerate(pending):
-            rest = tail[i:]
-            if p is not None:
-                if new is None:  # the longest token first
-                    t = self.ranks.get(rest)
-                    if t is not None and self._together(p[-1] if p else before, t):
-                        new = (*p, t)
-                if rest not in self.prefixes:
-                    p = None  # no token can begin here any more; it keeps its place
-            if p is not None and first < 0:
-                first = i
-            if first >= 0:
+        nodes, pending, before = self.states[state]
+        new, kept, live, child = None, [], [], self.child
+        for node, p in zip(nodes, pending, strict=True):
+            found = child.get(node << 8 | byte)
+            if found is None:
+                continue  # no token can begin here any more
+            to, rank, more = found
+            if rank >= 0 and new is None and self._together(p[-1] if p else before, rank):  # the longest token first
+                new = (*p, rank)
+            if more:
+                kept.append(to)
                 live.append(p)
         if new is None:
             raise ValueError("the vocabulary lacks a token for some byte")
+        kept.append(0)
         live.append(new)
-        if first < 0:
-            first = len(tail)
-        n, shortest = 0, min((p for p in live if p is not None), key=len)
-        while n < len(shortest) and all(p is None or p[n] == shortest[n] for p in live):
-            n += 1
-        emitted = shortest[:n]
+        n = 0
+        if len(live) == 1:
+            n = len(new)
+        else:
+            shortest = min(map(len, live))
+            while n < shortest:
+                token = new[n]
+                if any([p[n] != token for p in live]):
+                    break
+                n += 1
+        emitted = new[:n]
         if n:
-            live = [p if p is None else p[n:] for p in live]
-        return self._state((tail[first:], tuple(live), emitted[-1] if n else before)), emitted
+            live, before = [p[n:] for p in live], emitted[-1]
+        return self._state((tuple(kept), tuple(live), before if () in live else None)), emitted
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > KEPT_STATES:
             self.reset()
-        state, out = self.start, []
+        state, out, step_of = self.start, [], self.next
         for byte in piece:
-            step = self.next[state].get(byte)
+            key = state << 8 | byte
+            step = step_of.get(key)
             if step is None:
-                step = self.next[state][byte] = self._make(state, byte)
+                step = step_of[key] = self._make(state, byte)
             state, emitted = step
             if emitted:
                 out += emitted
@@ -196,7 +207,7 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         super().__init__()
         self.ranks, self.transducer = ranks, Transducer(ranks)
-        self.pattern = compile_pattern(pattern)
+        self.source, self.patterns = pattern, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "replace")
@@ -209,7 +220,10 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+        limit = 0x80 if text.isascii() else next(x for x in (0x100, 0x10000, sys.maxunicode + 1) if ord(max(text)) < x)
+        if limit not in self.patterns:
+            self.patterns[limit] = compile_pattern(self.source, limit)
+        return list(chain.from_iterable(map(self.__getitem__, self.patterns[limit].findall(text))))
 
 
 class Utf8Stream:
@@ -277,6 +291,7 @@ def _run(ranks_path: str, rank_list, pattern: str, text_col: str, fields: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _coders(ranks_path, pattern, rank_list)
         for b in slices(batches, text_col):
+            gc.disable()  # states and pieces are many small objects without cycles, which it would go over again and again
             ids, lengths, same, texts = [], [0], [], texts_of(b, text_col)
             for t in texts:
                 x = encoder.encode(t) if t is not None else []
@@ -284,6 +299,7 @@ def _run(ranks_path: str, rank_list, pattern: str, text_col: str, fields: list[s
                     same.append(None if t is None else decoder.decode(x) == t)
                 ids.append(np.array(x, dtype=np.int32))
                 lengths.append(lengths[-1] + len(x))
+            gc.enable()
             null = np.array([t is None for t in texts])
             flat = pa.array(np.concatenate(ids))
             made = {
