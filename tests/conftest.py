@@ -44,24 +44,22 @@ def canonical(df: Any) -> list[tuple[str, ...]]:
             x = x.tolist()
         if isinstance(x, (list, tuple)):
             return "[" + ",".join(map(text, x)) + "]"
-        if x is None or x != x or str(x) in ("NaT", "<NA>"):
+        if x is None or str(x) in ("NaT", "<NA>", "nan"):
             return "null"
-        if isinstance(x, float):
-            return f"{x:.4f}".rstrip("0").rstrip(".").replace("-0", "-0") if x else "0"
+        if isinstance(x, (float, int)) and not isinstance(x, bool):
+            return f"{x:.4f}".rstrip("0").rstrip(".") if x else "0"  # a column of integers with nulls is one of floats
         return str(x)
 
-    columns = sorted(df.columns)
-    numbers = {c for c in columns if df[c].dtype.kind == "f"}
-    return sorted(tuple(text(float(v)) if c in numbers and v is not None else text(v) for c, v in zip(columns, row, strict=True)) for row in df[columns].astype(object).itertuples(index=False))
+    return sorted(tuple(map(text, row)) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="session")
 def same_rows(spark, duck):
-    def check(query, sql: str) -> None:
+    def check(query, sql: str, some: bool = True) -> None:
         mine, theirs = query(spark, DATA).toPandas(), duck.execute(sql).fetchdf()
         assert sorted(mine.columns) == sorted(theirs.columns)
         assert canonical(mine) == canonical(theirs)
-        assert len(mine)
+        assert len(mine) or not some
 
     return check
 
