@@ -28,7 +28,7 @@ ODD = [None, "", " \n\n ", "a", "The quick brown fox jumps over the lazy dog. "
 
 @pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_secret_scan", "op3_line_dedup", "op6_fingerprints", "op8_license_scan"])
 def test_same_as_sql(name, same_rows):
-    same_rows(Q.queries()[name], Q.oracle_sql()[name])
+    same_rows(Q.queries()[name], Q.oracle_sql()[name], some=not name.startswith("op2"))  # the smallest tables have no secrets
 
 
 # -- 1 ----------------------------------------------------------------------------------------------------------------
