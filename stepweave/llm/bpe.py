@@ -33,8 +33,8 @@ from stepweave.llm.common import slices, texts_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 500_000
-KEPT_STATES = 300_000
+KEPT_PIECES = 300_000
+KEPT_STATES = 120_000
 _CLASSES: dict[tuple[str, int], str] = {}
 
 
@@ -135,7 +135,7 @@ class Transducer:
         key = (a, b)
         if (known := self.goes.get(key)) is not None:
             return known
-        if len(self.goes) > 4 * KEPT_STATES:
+        if len(self.goes) > 2 * KEPT_STATES:
             self.goes.clear()
         limit, fine = 1 << 62, True
         while True:
