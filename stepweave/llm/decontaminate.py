@@ -112,14 +112,19 @@ class _Search:
         row, at = self._expand(bounds[rarest], bounds[rarest + 1] - bounds[rarest])
         ok = place[at] >= self.offsets[row, 0]
         row, begin = row[ok], key[at[ok]] - self.offsets[row[ok], 0]
-        sought = key + (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << 48)  # sorted by term, document, place
+        # (term, document) by its rank, so that rank and place fit into 64 bits, however many terms there are
+        lists = (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << 16) | (key >> 32)
+        pairs, many = counted(lists)
+        sought = (np.repeat(np.arange(len(pairs)), many) << 32) | place
         for k in range(1, self.terms.shape[1]):
             if not len(row):
                 break
             term = self.terms[row, k]
-            target = begin + self.offsets[row, k] + (term << 48)
+            pair = (term << 16) | (begin >> 32)
+            rank = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            target = (rank << 32) + (begin & 0xFFFFFFFF) + self.offsets[row, k]
             at = np.minimum(np.searchsorted(sought, target), len(sought) - 1)
-            ok = (term < 0) | (sought[at] == target)
+            ok = (term < 0) | ((pairs[rank] == pair) & (sought[at] == target))
             row, begin = row[ok], begin[ok]
         return list(zip(self.owners[row].tolist(), begin.tolist(), self.lengths[row].tolist(), strict=True))
 
@@ -137,9 +142,10 @@ class _Search:
         good = pairs[many >= self.need[pairs >> 16]]
         if not len(good):
             return []
-        keep = good[np.minimum(np.searchsorted(good, group), len(good) - 1)] == group
-        group, where, slot, item = group[keep], where[keep], slot[keep], item[keep]
-        line = (group << 32) | (where & 0xFFFFFFFF)
+        rank = np.minimum(np.searchsorted(good, group), len(good) - 1)
+        keep = good[rank] == group
+        rank, where, slot, item = rank[keep], where[keep], slot[keep], item[keep]
+        line = (rank << 32) | (where & 0xFFFFFFFF)
         order = np.argsort(line, kind="stable")
         line, slot, item, where = line[order], slot[order], item[order], where[order]
         end = np.searchsorted(line, line + self.span[item], side="left")

@@ -296,6 +296,21 @@ def test_benchmark_phrases_against_brute_force(spark):
     assert decontaminate.benchmark_matches(docs, bench.limit(0)).count() == 0 and decontaminate.benchmark_matches(docs.limit(0), bench).count() == 0
 
 
+def test_benchmark_of_very_many_words_and_items(spark):
+    items = [" ".join(f"v{k}x{j}" for j in range(2)) + " of item" + f" n{k}" for k in range(70_000)]  # over 200,000 distinct words
+    long = [" ".join(f"long{k}w{j}" for j in range(20)) for k in range(200)]
+    places = [0, 4_463, 32_767, 32_768, 40_000, 65_535, 65_536, 69_999]
+    texts = [" ".join(["before", items[k], "after"]) for k in places] + [" ".join(["before", *reversed(items[k].split())]) for k in places]
+    # two items of one document, 65,536 apart, each with too few of its words
+    texts += [" ".join([*items[4_463].split()[:2], *items[69_999].split()[:2]])]
+    texts += ["x " + " ".join(t.split()[3:17]) for t in long]
+    bench = spark.createDataFrame(list(enumerate([*items, *long])), "item_id long, text string")
+    got = {(r.item_id, r.doc_id): r.kind for r in decontaminate.benchmark_matches(documents(spark, texts), bench).collect()}
+    n = len(places)
+    want = {(k, d): "phrase" for d, k in enumerate(places)} | {(k, n + d): "proximity" for d, k in enumerate(places)}
+    assert got == want | {(70_000 + k, 2 * n + 1 + k): "phrase" for k in range(len(long))}
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 
