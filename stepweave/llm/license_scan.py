@@ -7,6 +7,10 @@ words must have one of the first m - alpha + 1 words of the template (prefix fil
 filter), and where it has its first of them at place i of the template and place j of its own words in this order, alpha
 must not exceed 1 and the fewer of those that follow (positional filter). What passes is counted exactly.
 
+With windows, a block may also be several consecutive runs with the blank lines between them, as licenses of several
+paragraphs are: no longer than WINDOW_LENGTH times the template, repeated words counted, and only where nothing smaller
+inside it, a line or a run or a window, matches the template too.
+
 The index of the templates' prefixes is broadcast; where templates are many, a bounded number of them at a time. Texts
 aren't shuffled. Word counts cover all texts. They decide how much work is done, never what is found.
 
@@ -31,6 +35,8 @@ from stepweave.llm.common import slices, texts_of
 from stepweave.llm.textnp import distinct, words
 
 THRESHOLD = 0.85
+#: A window of several paragraphs has at most so many times a template's words.
+WINDOW_LENGTH = 2
 #: Words of the templates that are searched for at once.
 TEMPLATE_WORDS = 2_000_000
 
@@ -65,10 +71,11 @@ class Index:
     need: np.ndarray
     by_word: dict[int, list[tuple[int, int]]]  # rank of a prefix word: (template, its place)
     in_prefix: np.ndarray
+    lengths: list[int]  # words, repeated ones included
 
 
-def build(templates: dict[str, np.ndarray], counts: dict[int, int], threshold: float) -> Index:
-    """templates: each one's distinct word hashes; counts: in how many texts each is."""
+def build(templates: dict[str, np.ndarray], counts: dict[int, int], threshold: float, lengths: dict[str, int] | None = None) -> Index:
+    """templates: each one's distinct word hashes; counts: in how many texts each is; lengths: templates' numbers of words."""
     vocabulary = distinct(np.concatenate([*templates.values(), np.zeros(0, np.uint64)]))
     order = sorted(range(len(vocabulary)), key=lambda i: (counts.get(int(vocabulary[i]), 0), int(vocabulary[i])))
     ranks = np.empty(len(vocabulary), np.int64)
@@ -86,7 +93,7 @@ def build(templates: dict[str, np.ndarray], counts: dict[int, int], threshold: f
         names.append(name)
         sets.append(own)
         need.append(alpha)
-    return Index(vocabulary, ranks, names, sets, np.array(need, np.int64), by_word, in_prefix)
+    return Index(vocabulary, ranks, names, sets, np.array(need, np.int64), by_word, in_prefix, [(lengths or {}).get(n, len(x)) for n, x in zip(names, sets, strict=True)])
 
 
 def _blocks(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +122,32 @@ def block_matches(ranks: np.ndarray, index: Index) -> list[tuple[int, int]]:
     return out
 
 
-def matches_of(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
+def smallest_windows(words_in: np.ndarray, run: np.ndarray, ranks: np.ndarray, template: int, index: Index) -> list[tuple[int, int, int]]:
+    """(first run, last run, shared words) of the smallest windows of runs that match a template.
+
+    words_in: words up to the end of each run; run, ranks: of the text's known words.
+    """
+    own = np.isin(ranks, index.sets[template])
+    where, start = np.unique(run[own], return_index=True)
+    parts = [set(x.tolist()) for x in np.split(ranks[own], start[1:])]
+    where, need, most = where.tolist(), int(index.need[template]), WINDOW_LENGTH * index.lengths[template]
+    out: list[tuple[int, int, int]] = []
+    for i in range(len(where)):
+        before = int(words_in[where[i] - 1]) if where[i] else 0
+        seen: set[int] = set()
+        for j in range(i, len(where)):
+            if j > i and words_in[where[j]] - before > most:
+                break
+            seen |= parts[j]
+            if len(seen) >= need:
+                if out and out[-1][1] >= where[j]:
+                    out.pop()  # this one is inside it
+                out.append((where[i], where[j], len(seen)))
+                break
+    return [x for x in out if x[0] < x[1]]
+
+
+def matches_of(texts: list[str | None], index: Index, windows: bool = False) -> list[tuple[int, int, int, int, int]]:
     """(text, first line, number of lines, template, shared words); lines from 1."""
     if not len(index.sorted_hashes):
         return []
@@ -146,6 +178,14 @@ def matches_of(texts: list[str | None], index: Index) -> list[tuple[int, int, in
                     own = np.flatnonzero(runs == k)
                     own = own[1:] if k and len(own) > 1 else own  # the blank line that begins it
                     out.append((d, int(own[0]) + 1, len(own), t, both))
+        if windows and run[0] != run[-1]:
+            every = w.start[slice(*np.searchsorted(w.doc, [d, d + 1]))]
+            words_in = np.cumsum(np.bincount(runs[np.searchsorted(starts, every, side="right") - 1], minlength=runs[-1] + 1))
+            lines = np.flatnonzero(np.diff(runs, prepend=0) == 0)  # those that aren't blank
+            for t, _ in block_matches(np.unique(mine), index):
+                for i, j, both in smallest_windows(words_in, run, mine, t, index):
+                    first, last = int(lines[np.searchsorted(runs[lines], i)]), int(lines[np.searchsorted(runs[lines], j, side="right") - 1])
+                    out.append((d, first + 1, last - first + 1, t, both))
     return out
 
 
@@ -164,20 +204,22 @@ def _counts(vocabulary):
     return run
 
 
-def _matches(index):
+def _matches(index, windows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = index.value
         for b in slices(batches):
             ids = b.column("id").to_pylist()
-            rows = [(ids[d], line, n, x.names[t], both, len(x.sets[t])) for d, line, n, t, both in matches_of(texts_of(b), x)]
+            rows = [(ids[d], line, n, x.names[t], both, len(x.sets[t])) for d, line, n, t, both in matches_of(texts_of(b), x, windows)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "line", "n_lines", "template", "shared", "template_words"])
 
     return run
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", template_words: int = TEMPLATE_WORDS) -> DataFrame:
-    """doc_id, line (the block's first, from 1), n_lines, template, shared, template_words (numbers of different words)."""
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", template_words: int = TEMPLATE_WORDS, windows: bool = False) -> DataFrame:
+    """doc_id, line (the block's first, from 1), n_lines, template, shared, template_words (numbers of different words).
+
+    windows: blocks may be several paragraphs, too."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = docs.sparkSession
@@ -185,6 +227,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     names, texts = zip(*sorted((TEMPLATES if templates is None else templates).items()), strict=True) if (TEMPLATES if templates is None else templates) else ((), ())
     w = words(list(texts))
     bounds = np.searchsorted(w.doc, np.arange(len(names) + 1))
+    lengths = dict(zip(names, np.diff(bounds).tolist(), strict=True))
     sets = {n: distinct(np.sort(w.hash[a:b])) for n, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}
     out = spark.createDataFrame([], "doc_id long, line int, n_lines int, template string, shared int, template_words int")
     part: dict[str, np.ndarray] = {}
@@ -200,6 +243,6 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
             continue
         found = rows.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         counts = dict(zip(found.word.to_numpy(np.int64).view(np.uint64).tolist(), found.n.tolist(), strict=True))
-        index = spark.sparkContext.broadcast(build(part, counts, threshold))
-        out = out.union(rows.mapInArrow(_matches(index), out.schema))
+        index = spark.sparkContext.broadcast(build(part, counts, threshold, lengths))
+        out = out.union(rows.mapInArrow(_matches(index, windows), out.schema))
     return out.distinct()

@@ -138,8 +138,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and blocks of all documents that hold a license template."""
-    return license_scan.license_matches(table(ship(spark), sf_dir, "documents"))
+    """Lines, blocks and windows of paragraphs of all documents that hold a license template."""
+    return license_scan.license_matches(table(ship(spark), sf_dir, "documents"), windows=True)
 
 
 _TEMPLATE_ROWS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())

@@ -261,6 +261,45 @@ def test_license_blocks_against_brute_force(spark, threshold, at_once):
     assert len(distinct(np.array([3, 1, 3]))) == 2
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice."""
+
+
+def test_licenses_of_several_paragraphs(spark, tmp_path):
+    texts = [APACHE, f"\n\nTitle\n\n  \n{MIT}\n\nTHE SOFTWARE IS PROVIDED AS IS\n", f"Copyright\n\n{BSD}"]
+    far = MIT.split("\n\n")
+    texts += [f"{far[0]}\n\n{'other words ' * 100}\n\n{far[1]}", MIT.replace("\n\n", "\n"), f"{MIT}\n\n{'other words ' * 100}\n\n{MIT}"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ("apache-2.0-header", "mit-text", "bsd-3-clause")
+    got = sorted((r.doc_id, r.line, r.n_lines, r.template) for r in Q.op8_license_scan(spark, str(tmp_path)).collect() if r.template in names)
+    assert got == [(0, 1, 11, names[0]), (1, 6, 9, names[1]), (2, 3, 5, names[2]), (4, 1, 8, names[1]), (5, 1, 9, names[1]), (5, 13, 9, names[1])]
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 
 
