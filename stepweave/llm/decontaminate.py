@@ -10,8 +10,9 @@ Exact matches: any phrase_words consecutive words of an item (all of them if it
 three quarters of an item's rarest terms, at least three of them, within one and a half times the item's length; this
 finds passages with words changed, added or moved. Each pair of item and document is returned once.
 
-Defined cases: null text or id on either side: takes no part. Items of fewer than min_words words, empty ones included,
-take no part: they would match by chance. Repeated items or rows: once. No items or no documents: no matches. Other
+Defined cases: null text or id on either side: takes no part. Items of fewer than min_words words
+have exact matches only, of the whole item; drop_contaminated passes these over, as they would match by chance. Items
+without words take no part. Repeated items or rows: once. No items or no documents: no matches. Other
 columns are ignored, or kept by drop_contaminated, in which rows of null doc_id stay. The items are read to the driver,
 slice by slice if they are many, never the documents.
 """
@@ -72,7 +73,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Search:
     """All phrases and items against one segment at a time. totals: how often each term is in all segments."""
 
-    def __init__(self, items: list[np.ndarray], totals: np.ndarray, phrase_words: int):
+    def __init__(self, items: list[np.ndarray], totals: np.ndarray, phrase_words: int, near_words: int = 0):
         rows, owners, lengths = [], [], []
         for k, item in enumerate(items):
             n = min(phrase_words, len(item))
@@ -91,6 +92,8 @@ class _Search:
         slots = []
         self.need, self.span = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
         for k, item in enumerate(items):
+            if len(item) < near_words:
+                continue
             rare = sorted(set(item.tolist()), key=lambda t: (totals[t], t))[:RAREST]
             self.need[k], self.span[k] = max(3, math.ceil(SHARE * len(rare))), math.ceil(SPREAD * len(item))
             if sum(totals[t] > 0 for t in rare) >= self.need[k]:
@@ -126,6 +129,13 @@ class _Search:
             at = np.minimum(np.searchsorted(sought, target), len(sought) - 1)
             ok = (term < 0) | ((pairs[rank] == pair) & (sought[at] == target))
             row, begin = row[ok], begin[ok]
+        # of an item only the first place in each document: items of a few words may be at very many
+        order = np.lexsort((begin, self.owners[row]))
+        row, begin = row[order], begin[order]
+        owner, doc = self.owners[row], begin >> 32
+        first = np.ones(len(row), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
+        row, begin = row[first], begin[first]
         return list(zip(self.owners[row].tolist(), begin.tolist(), self.lengths[row].tolist(), strict=True))
 
     def near(self, bounds: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int]]:
@@ -158,10 +168,10 @@ class _Search:
         return list(zip(item[hit].tolist(), where[hit].tolist(), n[hit].tolist(), strict=True))
 
 
-def _matches(items, n_terms: int, phrase_words: int):
+def _matches(items, n_terms: int, phrase_words: int, near_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_ids, terms, totals = items.value
-        search = _Search(terms, totals, phrase_words)
+        search = _Search(terms, totals, phrase_words, near_words)
         for b in batches:
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
@@ -184,8 +194,10 @@ def _matches(items, n_terms: int, phrase_words: int):
     return run
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
-    """item_id, doc_id, kind (phrase or proximity), place (in words), n_words (matched at least there)."""
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS, phrase_min_words: int = 1) -> DataFrame:
+    """item_id, doc_id, kind (phrase or proximity), place (in words), n_words (matched at least there).
+
+    Items of fewer than min_words words have phrase matches only, those of fewer than phrase_min_words none."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
@@ -198,7 +210,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, phrase_words: int =
         part = part.sort_values(["item", "text"])
         w = words(part.text.tolist())
         bounds = np.searchsorted(w.doc, np.arange(len(part) + 1))
-        kept = [(int(i), w.hash[a:b]) for i, a, b in zip(part["item"], bounds[:-1], bounds[1:], strict=True) if b - a >= min_words]
+        kept = [(int(i), w.hash[a:b]) for i, a, b in zip(part["item"], bounds[:-1], bounds[1:], strict=True) if b - a >= max(1, min(min_words, phrase_min_words))]
         if not kept:
             continue
         vocabulary = distinct(np.concatenate([x for _, x in kept]))
@@ -207,13 +219,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, phrase_words: int =
         totals = np.zeros(len(vocabulary), np.int64)
         totals[found.term.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
         items = spark.sparkContext.broadcast(([i for i, _ in kept], [np.searchsorted(vocabulary, x) for _, x in kept], totals))
-        out = out.union(segments.mapInArrow(_matches(items, len(vocabulary), phrase_words), schema))
+        out = out.union(segments.mapInArrow(_matches(items, len(vocabulary), phrase_words, min_words), schema))
     # an item of several texts, or a document of several rows, may match more than once
     best = F.min(F.struct("kind", (-F.col("n_words")).alias("less"), "place"))
     return out.groupBy("item_id", "doc_id").agg(best.alias("b")).select("item_id", "doc_id", "b.kind", "b.place", (-F.col("b.less")).alias("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that match an item."""
-    found = benchmark_matches(docs, benchmark, phrase_words, min_words, id_col, text_col)
+    """docs without those that match an item of min_words words or more."""
+    found = benchmark_matches(docs, benchmark, phrase_words, min_words, id_col, text_col, phrase_min_words=min_words)
     return semi(docs, cut(found.select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_anti")

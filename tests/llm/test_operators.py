@@ -350,6 +350,15 @@ def test_benchmark_of_very_many_words_and_items(spark):
     assert got == want | {(70_000 + k, 2 * n + 1 + k): "phrase" for k in range(len(long))}
 
 
+def test_short_benchmark_items(spark):
+    items = ["Paris", "the answer is 42", "who wrote it", "", "one two three four five"]
+    texts = ["In PARIS, paris and Paris", "so the answer: is 42!", "the 42 answer is", "it wrote who", "a one two three four five b", "the answer is", None, ""]
+    docs, bench = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id, r.kind, r.place, r.n_words) for r in decontaminate.benchmark_matches(docs, bench).collect())
+    assert got == [(0, 0, "phrase", 1, 1), (1, 1, "phrase", 1, 4), (4, 4, "phrase", 1, 5)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [0, 1, 2, 3, 5, 6, 7]
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 
