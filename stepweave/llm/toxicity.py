@@ -42,6 +42,8 @@ WINDOW = 6
 THRESHOLD = 0.5
 EDIT_WEIGHT = (1.0, 0.6, 0.5)
 QUOTED_MOST = 0.4
+#: A quotation's marks are within so many words before and after a term (of 40 characters on average at most).
+QUOTE_WORDS = 24
 
 
 @dataclass
@@ -206,13 +208,36 @@ class Matcher:
 _PAIRS = (("“", "”"), ("«", "»"), ("„", "“"))
 
 
+def _side(before: str, after: str) -> tuple[bool, bool]:
+    """Whether a straight mark between these characters may open, and may close a quotation."""
+    if before.isspace() != after.isspace():
+        return before.isspace(), after.isspace()
+    if before.isalnum() != after.isalnum():
+        return after.isalnum(), before.isalnum()
+    return True, True
+
+
 def in_quotes(text: str, start: int, end: int) -> bool:
-    """Whether quotation marks of one line surround the place."""
+    """Whether a pair of quotation marks of one line surrounds the place, both within QUOTE_WORDS words. Unpaired marks don't."""
     a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    left, right = text[a:start], text[end : b if b >= 0 else len(text)]
-    if left.count('"') % 2 and '"' in right:
-        return True
-    return any(left.rfind(x) > left.rfind(y) and y in right for x, y in _PAIRS if x != y)
+    b = b if b >= 0 else len(text)
+    left, right = text[max(a, start - 40 * QUOTE_WORDS) : start], text[end : min(b, end + 40 * QUOTE_WORDS)]
+    if len(parts := left.rsplit(None, QUOTE_WORDS)) > QUOTE_WORDS:
+        left = left[len(parts[0]) :]
+    if len(parts := right.split(None, QUOTE_WORDS)) > QUOTE_WORDS:
+        right = right[: len(right) - len(parts[-1])]
+    if '"' in left and '"' in right:
+        opened, at = -1, text.find('"', start - len(left), end + len(right))
+        while at >= 0:
+            opens, closes = _side(text[at - 1] if at > a else " ", text[at + 1] if at + 1 < b else " ")
+            if opened >= 0 and closes:
+                if opened < start and at >= end:
+                    return True
+                opened = -1
+            elif opens:
+                opened = at
+            at = text.find('"', at + 1, end + len(right))
+    return any(left.rfind(x) > left.rfind(y) and y in right and x not in right[: right.find(y)] for x, y in _PAIRS)
 
 
 # -- learning terms -------------------------------------------------------------------------------------------------

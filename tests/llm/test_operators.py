@@ -183,6 +183,14 @@ def test_abuse_and_quotation(spark):
     assert toxicity.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == toxicity.Lexicon()
 
 
+def test_unpaired_marks_quote_nothing():
+    m, far = toxicity.Matcher(toxicity.Lexicon()), "and so on " * 100
+    bad = ['A 6" pipe, you idiot and moron, not a 7" one', f'He "never ended. {far}you idiot, you moron. {far}A 5" pipe', 'So "a" you idiot and moron "b" it is', 'An "open mark, idiot, then "b" follows', "So “open, idiot and moron, then “b” it is"]
+    good = ['he wrote "idiot" on it', f'A 6" pipe. {far} They have "an idiot, all in all" there', '("idiot")', "“such an idiot”", "„idiot“ it is", "«idiot»", '"What an idiot!" was heard']
+    assert [s >= toxicity.THRESHOLD for s, _, _ in m.scores(bad)] == [True] * len(bad)
+    assert [s >= toxicity.THRESHOLD for s, _, _ in m.scores(good)] == [False] * len(good)
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
