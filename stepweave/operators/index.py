@@ -16,11 +16,12 @@ from stepweave.functions.versions import CURRENT
 from stepweave.sources.schema import EPISODES, conform
 
 
-def build(steps: DataFrame, tasks: DataFrame | None = None, split: Column | str = "train", action_space_type: str = "custom", source_uri: str = "", invalid: DataFrame | None = None, parquet_file: Column | str = "") -> DataFrame:
-    """A row for each episode, in the index's columns, and episode_index.
+def build(steps: DataFrame, tasks: DataFrame | None = None, split: Column | str = "train", action_space_type: str = "custom", source_uri: str = "", invalid: DataFrame | None = None, files: DataFrame | None = None, row_ranges: bool = True) -> DataFrame:
+    """A row for each episode, in the index's columns.
 
-    Start and end are the first and last step's times. tasks: episode_id, task_id, task_text; invalid: episode_id.
-    Rows in a file are counted over the episodes of the same file, by episode_index: one window over episodes, none over steps.
+    Start and end are the first and last step's times. tasks: episode_id, task_id, task_text; invalid: episode_id; files:
+    episode_id, file. Rows in a file are counted over the episodes of the same file, by episode_index; without files over
+    all, by way of sums of buckets, or not at all (row_ranges=False: from 0 to 0). No window is over steps.
     """
     i = F.col("step_index")
     keys = F.map_keys(F.map_filter("observation", lambda k, _: is_image(k)))
@@ -34,9 +35,15 @@ def build(steps: DataFrame, tasks: DataFrame | None = None, split: Column | str
     if invalid is not None:
         agg = agg.join(invalid.select("episode_id").distinct().withColumn("invalid", F.lit(True)), "episode_id", "left").withColumn("invalid", F.coalesce("invalid", F.lit(False)))
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    agg = agg.withColumns({"duration_secs": F.col("end_timestamp") - F.col("start_timestamp"), "split": lit(split), "action_space_type": F.lit(action_space_type), "source_uri": F.lit(source_uri), "video_offsets": F.lit("{}"), "schema_version": F.lit(CURRENT), "parquet_file": lit(parquet_file)})
-    end = F.sum("num_steps").over(W.partitionBy("parquet_file").orderBy("episode_index").rowsBetween(W.unboundedPreceding, 0))
-    agg = agg.withColumn("parquet_row_end", end).withColumn("parquet_row_start", F.col("parquet_row_end") - F.col("num_steps"))
+    agg = agg.withColumns({"duration_secs": F.col("end_timestamp") - F.col("start_timestamp"), "split": lit(split), "action_space_type": F.lit(action_space_type), "source_uri": F.lit(source_uri), "video_offsets": F.lit("{}"), "schema_version": F.lit(CURRENT)})
+    if files is not None:
+        end = F.sum("num_steps").over(W.partitionBy("parquet_file").orderBy("episode_index").rowsBetween(W.unboundedPreceding, 0))
+        agg = agg.join(files.select("episode_id", F.col("file").alias("parquet_file")), "episode_id", "left").withColumn("parquet_row_end", end)
+    elif row_ranges:
+        ends = frame_offsets(agg).select("episode_id", F.col("frame_end").alias("parquet_row_end"))
+        agg = agg.join(ends, "episode_id", "left").withColumn("parquet_file", F.lit(""))
+    if files is not None or row_ranges:
+        agg = agg.withColumn("parquet_row_start", F.col("parquet_row_end") - F.col("num_steps"))
     full = conform(agg, EPISODES, {"robot_id": "unknown"})
     return full
 
@@ -98,7 +105,8 @@ def count(index: DataFrame, q: Query | None = None) -> int:
 
 def where_sql(index: DataFrame, predicate: str, limit: int | None = None, columns: Iterable[str] | None = None) -> DataFrame:
     """Rows that meet an SQL predicate over the index's columns; no subqueries, no other names."""
-    if re.search(r"\b(select|with|from)\b", predicate, re.IGNORECASE):
+    bare = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", " ", predicate, flags=re.DOTALL)  # without texts and comments
+    if re.search(r"\b(select|with|from|table|values)\b", re.sub(r"\bis\s+(not\s+)?distinct\s+from\b", " ", bare, flags=re.IGNORECASE), re.IGNORECASE):
         raise ValueError("a predicate has no subquery")
     df = index.select(*(columns or index.columns)).where(predicate)
     return df.orderBy("episode_id").limit(limit) if limit else df

@@ -11,8 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from stepweave.functions import actions as A
@@ -100,36 +103,86 @@ def nearest(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return image[np.arange(height) * h // height][:, np.arange(width) * w // width]
 
 
-def _resizer(size: tuple[int, int] | None, hwc: bool, chw_out: bool, dtype: str | None):
-    def one(v: dict) -> dict:
-        if v is None or v["bin"] is None or v["shape"] is None or len(v["shape"]) != 3:
-            return v
-        x = np.frombuffer(v["bin"], dtype=v["dtype"]).reshape(v["shape"])
+def _triangles(n: int, size: int) -> np.ndarray:
+    """What each of size places takes of n ones: by distance between centres, over as many as fall together if they become fewer."""
+    scale = n / size
+    far = np.abs((np.arange(n)[None, :] + 0.5) - (np.arange(size)[:, None] + 0.5) * scale) / max(scale, 1.0)
+    weights = np.maximum(1 - far, 0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resized by linear interpolation in both directions; integers are rounded."""
+    h, w = image.shape[:2]
+    out = np.einsum("ih,hwc->iwc", _triangles(h, height), image.astype(np.float64))
+    out = np.einsum("jw,iwc->ijc", _triangles(w, width), out)
+    return np.rint(out).astype(image.dtype) if image.dtype.kind in "iu" else out.astype(image.dtype)
+
+
+_RESIZE = {"nearest": nearest, "bilinear": bilinear}
+
+
+def _resizer(size: tuple[int, int] | None, how: str, hwc: bool, chw_out: bool, dtype: str | None, shapes: bool, names: list[str]):
+    """Looks at the images' entries only; all else goes through as it came."""
+    resize = _RESIZE[how]
+
+    def one(data: bytes, kind: str, shape: list[int]) -> np.ndarray:
+        x = np.frombuffer(data, dtype=kind).reshape(shape)
         if hwc and x.shape[0] in (1, 3, 4) and x.shape[0] < x.shape[1]:
             x = x.transpose(1, 2, 0)
         if size:
-            x = nearest(x, *size)
+            x = resize(x, *size)
         if chw_out:
             x = x.transpose(2, 0, 1)
-        x = np.ascontiguousarray(x.astype(dtype) if dtype else x)
-        return v | {"bin": x.tobytes(), "shape": list(x.shape), "dtype": x.dtype.name}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["observation"] = [None if o is None else {k: one(v) if "image" in k else v for k, v in (o.items() if isinstance(o, dict) else o)} for o in pdf["observation"]]
-            yield pdf
+        return np.ascontiguousarray(x.astype(dtype) if dtype else x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column(b.schema.get_field_index("observation"))
+            keys, items = m.keys, m.items
+            data, shape, kind = items.field("bin"), items.field("shape"), items.field("dtype")
+            ok = pc.and_(pc.and_(pc.match_substring(keys, "image"), data.is_valid()), pc.equal(pc.fill_null(pc.list_value_length(shape), 0), 3))
+            ok = pc.fill_null(ok, False)
+            places = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+            made = [one(d, k, s) for d, k, s in zip(data.take(pa.array(places)).to_pylist(), kind.take(pa.array(places)).to_pylist(), shape.take(pa.array(places)).to_pylist(), strict=True)]
+            dims = shape.to_pylist()
+            was = {}
+            for p, x in zip(places.tolist(), made, strict=True):
+                was[p], dims[p] = dims[p], list(x.shape)
+            new = {"dtype": pc.replace_with_mask(kind, ok, pa.array([x.dtype.name for x in made], kind.type)), "shape": pa.array(dims, shape.type), "bin": pc.replace_with_mask(data, ok, pa.array([x.tobytes() for x in made], data.type))}
+            fields = [items.type.field(k) for k in range(items.type.num_fields)]
+            struct = pa.StructArray.from_arrays([new.get(f.name, items.field(f.name)) for f in fields], fields=fields, mask=items.is_null())
+            observation = pa.MapArray.from_arrays(m.offsets, keys, struct, type=m.type, mask=m.is_null() if m.null_count else None)
+            columns = [observation if n == "observation" else b.column(b.schema.get_field_index(n)) for n in names]
+            if shapes:
+                bounds, every = m.offsets.to_pylist(), keys.to_pylist()
+                columns.append(pa.array([[(every[p], was[p]) for p in range(i, j) if p in was] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.map_(pa.string(), pa.list_(pa.int32()))))
+            yield pa.record_batch(columns, names=[*names, *["image_shapes"] * shapes])
 
     return run
 
 
-def resize_images(size: tuple[int, int] = (256, 256)) -> Transform:
-    """Images of three dimensions to (height, width)."""
-    return lambda df: df.mapInPandas(_resizer(size, False, False, None), df.schema)
+def _resized(df: DataFrame, size: tuple[int, int] | None, how: str, hwc: bool, chw_out: bool, dtype: str | None, shapes: bool) -> DataFrame:
+    df = df.drop("image_shapes") if shapes else df
+    schema = T.StructType([*df.schema.fields, *[T.StructField("image_shapes", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))] * shapes])
+    return df.mapInArrow(_resizer(size, how, hwc, chw_out, dtype, shapes, df.columns), schema)
+
 
+def resize_images(size: tuple[int, int] = (256, 256), interpolation: str = "nearest") -> Transform:
+    """Images of three dimensions to (height, width); interpolation: nearest or bilinear."""
+    if interpolation not in _RESIZE:
+        raise ValueError(f"interpolation is one of {', '.join(_RESIZE)}")
+    return lambda df: _resized(df, size, interpolation, False, False, None, False)
 
-def standardize_images(size: tuple[int, int] | None = (256, 256), channels_first: bool = False, dtype: str = "uint8") -> Transform:
-    """Images with channels last, resized, then with channels first if wanted, in one element type."""
-    return lambda df: df.mapInPandas(_resizer(size, True, channels_first, dtype), df.schema)
+
+def standardize_images(size: tuple[int, int] | None = (256, 256), channels_first: bool = False, dtype: str = "uint8", interpolation: str = "nearest", record_shapes: bool = False) -> Transform:
+    """Images with channels last, resized, then with channels first if wanted, in one element type.
+
+    record_shapes: a column image_shapes has the shapes as they were.
+    """
+    if interpolation not in _RESIZE:
+        raise ValueError(f"interpolation is one of {', '.join(_RESIZE)}")
+    return lambda df: _resized(df, size, interpolation, True, channels_first, dtype, record_shapes)
 
 
 def task_texts(steps: DataFrame, default: str = "", allow_empty: bool = False, metadata: tuple[str, ...] = ("task", "instruction", "task_text", "language_instruction")) -> DataFrame:

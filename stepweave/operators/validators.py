@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from stepweave.functions.actions import ACTION_TYPES, TINY
 from stepweave.functions.keys import is_image
+from stepweave.sources.schema import DatasetSpec
 
 ERROR, WARN, INFO = "ERROR", "WARN", "INFO"
 COLUMNS = ["severity", "code", "message", "location", "field", "value", "episode_id", "step_index", "ord"]
@@ -187,21 +191,114 @@ def action_metadata(specs: DataFrame) -> DataFrame:
     return df.select("dataset_id", F.explode(wrong).alias("problem"))
 
 
-def coded(steps: DataFrame, episodes: DataFrame | None = None, rate_hz: float = 10.0) -> DataFrame:
-    """The documented rule codes: the same rules as above, called E001 and so on, with the documented severities."""
-    both = [rlds(steps, episodes), length(steps, 5, 10_000, episodes), timestamps(steps, 2.0, rate_hz), action_sanity(steps), image_integrity(steps), image_alignment(steps)]
-    every = reduce(DataFrame.unionByName, both)
-    codes = {100: ("E001", ERROR), 101: ("E002", ERROR), 102: ("E003", ERROR), 103: ("W001", WARN), 104: ("E004", ERROR), 105: ("E005", ERROR), 106: ("W002", WARN), 201: ("W003", WARN), 202: ("W004", WARN), 301: ("W201", WARN), 302: ("W202", WARN), 401: ("W101", WARN), 402: ("W102", WARN), 403: ("W103", WARN), 601: ("E006", ERROR), 602: ("W301", WARN), 603: ("W302", WARN), 604: ("W303", WARN), 605: ("W304", WARN), 701: ("W401", WARN), 702: ("W402", WARN), 703: ("W403", WARN)}
-    table = F.create_map(*[x for k, (c, s) in codes.items() for x in (F.lit(k), F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity")))])
-    known = F.try_element_at(table, F.col("ord"))
-    return every.withColumns({"code": known["code"], "severity": known["severity"]})
+#: The documented rules: code and message. The first letter is the severity: E, W or I.
+CODES = {
+    "E001": "is_first isn't just at the first step", "E002": "is_last isn't just at the last step", "E003": "no steps", "E004": "steps have different keys", "E005": "a field's element type changes", "E006": "a field's shape changes",
+    "W001": "is_terminal is missing", "W002": "the last step has an action", "W003": "the last step has a reward", "W004": "too short", "W005": "very long", "W006": "the episode is cut off", "W007": "no task text", "W008": "the task text is bytes",
+    "W101": "NaN in an observation", "W102": "infinity in an observation", "W103": "NaN in an action", "W104": "infinity in an action", "W105": "an action is out of bounds", "W106": "an action is extreme",
+    "W201": "time goes back", "W202": "a large gap", "I201": "times are missing", "I202": "the rate varies",
+    "W301": "an image has another element type", "W302": "an image has a wrong number of channels", "W303": "an image has NaN or infinity", "I301": "an image is nearly blank", "I302": "an image has another size than declared",
+    "W401": "a camera lacks frames", "W402": "a declared camera is missing", "I401": "one camera of several",
+    "W501": "no dataset_id", "W502": "no robot_id", "W503": "no action space type", "W504": "no control rate",
+}
+_SEVERITY = {"E": ERROR, "W": WARN, "I": INFO}
+
+
+@F.pandas_udf(T.DoubleType())
+def entropy(data: pd.Series) -> pd.Series:
+    """Bits a byte."""
+
+    def one(x: bytes | None) -> float | None:
+        if not x:
+            return None
+        p = np.bincount(np.frombuffer(x, np.uint8), minlength=256) / len(x)
+        p = p[p > 0]
+        return float(-(p * np.log2(p)).sum())
+
+    return data.map(one)
+
+
+def _coded(df: DataFrame, *rules: tuple[str, Column, Column | None, Column | None]) -> DataFrame:
+    """A row for each rule (code, condition, step, field) that fires."""
+    none = F.lit(None)
+    made = [F.when(when, F.struct(F.lit(code).alias("code"), (none if at is None else at).cast("int").alias("step_index"), (none if field is None else field).cast("string").alias("field"))) for code, when, at, field in rules]
+    return df.select("episode_id", F.explode(F.array_compact(F.array(*made))).alias("f")).select("episode_id", "f.code", "f.step_index", "f.field")
+
+
+def coded(steps: DataFrame, spec: DatasetSpec | None = None, episodes: DataFrame | None = None, min_length: int = 5, max_length: int = 10_000, bounds: tuple[float, float] = (-10.0, 10.0), sigma: float = 5.0, low_entropy: float = 1.0) -> DataFrame:
+    """Findings of the documented rule pack: severity, code, message, episode_id, step_index (the first such step), field.
+
+    One row for each episode, rule and field. What the spec declares (rate, cameras, shapes) is checked if it is given.
+    Rules about the data set itself (W501, W503, W504) have no episode. Actions are extreme by the data set's mean and
+    deviation.
+    """
+    hz = (spec.control_rate_hz if spec else None) or 10.0
+    i, none = F.col("step_index"), F.lit(None)
+    every, order = W.partitionBy("episode_id"), W.partitionBy("episode_id").orderBy("step_index")
+    text = F.col("observation")["observation.language"]
+    robot = F.col("robot_id") if "robot_id" in steps.columns else none.cast("string")
+    own = F.col("task_text") if "task_text" in steps.columns else none.cast("string")
+    some = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    odd = lambda f: F.exists("action", f)
+    nan, endless = (lambda x: F.isnan(x)), (lambda x: F.abs(x) == F.lit(float("inf")))
+    dims = steps.where("action is not null").select(F.posexplode("action").alias("d", "x")).where(~F.isnan("x") & (F.abs("x") < F.lit(float("inf")))).groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    moments = dims.agg(F.array_sort(F.collect_list(F.struct("d", "m", "s"))).alias("ms"))  # one row
+    at = steps.crossJoin(F.broadcast(moments)).withColumns({"_n": F.count("*").over(every), "_b": F.lag("timestamp").over(order)})
+    gap = F.col("timestamp") - F.col("_b")
+    extreme = F.exists(F.zip_with("action", "ms", lambda x, m: (F.abs(x - m["m"]) > sigma * m["s"]) & (m["s"] > TINY)), lambda v: F.coalesce(v, F.lit(False)))
+    last = F.col("is_last")
+    flags = {
+        "W001": F.col("is_terminal").isNull(), "W002": last & F.col("action").isNotNull(), "W003": last & F.col("reward").isNotNull(), "W006": last & ~F.col("is_terminal"), "W008": text["bin"].isNotNull() & text["str"].isNull(), "W103": odd(nan), "W104": odd(endless),
+        "W105": odd(lambda x: ~F.isnan(x) & ((x < bounds[0]) | (x > bounds[1]))), "W106": extreme, "W201": gap < 0, "W202": gap > 2.0 / hz, "I201": F.col("timestamp").isNull(), "W502": ~some(robot),
+    }
+    wrong = lambda flag, place: (F.count_if(flag) != 1) | (F.count_if(flag & (i == place)) != 1)
+    per = at.groupBy("episode_id").agg(
+        F.count("*").alias("n"), wrong(F.col("is_first"), F.lit(0)).alias("E001"), wrong(F.col("is_last"), F.col("_n") - 1).alias("E002"), (F.count_distinct(F.array_sort(F.map_keys("observation"))) > 1).alias("E004"),
+        (F.max(gap - 0.0) - F.avg(gap) > 0.1 * F.avg(gap)).alias("fast"), (F.avg(gap) - F.min(gap) > 0.1 * F.avg(gap)).alias("slow"), F.max(some(own) | some(text["str"]) | text["bin"].isNotNull()).alias("told"),
+        *[F.min(F.when(c, i)).alias(k) for k, c in flags.items()])
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    parts = [_coded(
+        per,
+        ("E001", yes("E001"), none, none), ("E002", yes("E002"), none, none), ("E004", yes("E004"), none, none), ("W004", F.col("n") < min_length, none, none), ("W005", F.col("n") > max_length, none, none), ("W007", ~yes("told"), none, none),
+        ("I202", yes("fast") | yes("slow"), none, none), *[(k, F.col(k).isNotNull(), F.col(k), none) for k in flags],
+    )]
+    if episodes is not None:
+        empty = episodes.select("episode_id").join(steps.select("episode_id").distinct(), "episode_id", "left_anti")
+        parts.append(_coded(empty, ("E003", F.lit(True), none, none)))
+    # fields: one row a step and key, without what they hold but for numbers
+    fields = at.select("episode_id", "step_index", "_n", F.explode("observation").alias("key", "v"))
+    image, bad = is_image(F.col("key")), lambda f: F.coalesce(F.exists("v.num", f), F.lit(False))
+    size, declared = F.col("v.shape"), {k: list(f.shape) for k, f in (spec.image_features() if spec else {}).items() if f.shape}
+    want = F.try_element_at(F.create_map(*[x for k, s in declared.items() for x in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("key")) if declared else none.cast("array<int>")
+    marks = {
+        "W101": ~image & bad(nan), "W102": ~image & bad(endless), "W301": image & ~F.col("v.dtype").isin("uint8", "float32"), "W302": image & (F.size(size) == 3) & ~F.element_at(size, -1).isin(1, 3, 4), "W303": image & (bad(nan) | bad(endless)),
+        "I301": image & F.col("v.bin").isNotNull() & (entropy(F.when(image, F.col("v.bin"))) < low_entropy), "I302": image & (size != want),
+    }
+    by = fields.groupBy("episode_id", "key").agg(
+        F.count("*").alias("n"), F.max("_n").alias("_n"), (F.count_distinct("v.dtype") > 1).alias("E005"), (F.count_distinct("v.shape") > 1).alias("E006"), *[F.min(F.when(c, i)).alias(k) for k, c in marks.items()])
+    key = F.col("key")
+    parts.append(_coded(by, ("E005", F.col("E005"), none, key), ("E006", F.col("E006"), none, key), ("W401", is_image(key) & (F.col("n") != F.col("_n")), none, key), *[(k, F.col(k).isNotNull(), F.col(k), key) for k in marks]))
+    if spec is not None and spec.cameras:
+        names = F.array(*[F.lit("observation.images." + c) for c in spec.cameras])
+        seen = at.groupBy("episode_id").agg(F.array_distinct(F.flatten(F.collect_set(F.filter(F.map_keys("observation"), is_image)))).alias("there"))
+        lacking = seen.select("episode_id", F.explode(F.array_except(names, "there")).alias("key"))
+        parts.append(_coded(lacking, ("W402", F.lit(True), none, key)))
+        if len(spec.cameras) > 1:
+            parts.append(_coded(seen, ("I401", F.size("there") == 1, none, none)))
+    if spec is not None:
+        about = {"W501": not spec.dataset_id, "W503": not spec.action_space_type or spec.action_space_type == "custom", "W504": not spec.control_rate_hz}
+        rows = [(None, c, None, None) for c, found in about.items() if found]
+        parts.append(steps.sparkSession.createDataFrame(rows, "episode_id string, code string, step_index int, field string"))
+    found = reduce(DataFrame.unionByName, parts)
+    pick = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("code"))
+    return found.select(pick({c: _SEVERITY[c[0]] for c in CODES}).alias("severity"), "code", pick(CODES).alias("message"), "episode_id", "step_index", "field")
 
 
 VALIDATORS: dict[str, Callable[..., DataFrame]] = {"rlds_invariants": rlds, "episode_length": length, "timestamps": timestamps, "action_sanity": action_sanity, "schema": schema, "image_integrity": image_integrity, "image_alignment": image_alignment}
 
 
-def validate(steps: DataFrame, episodes: DataFrame | None = None, spec: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """All findings of the validators named (by default all; schema only with a spec)."""
+def validate(steps: DataFrame, episodes: DataFrame | None = None, spec: DataFrame | None = None, names: list[str] | None = None, rate_hz: float | None = None) -> DataFrame:
+    """All findings of the validators named (by default all; schema only with a spec). rate_hz: the steps' rate, 10 if unknown."""
     parts = []
     for n in names or list(VALIDATORS):
         if n == "schema":
@@ -209,6 +306,8 @@ def validate(steps: DataFrame, episodes: DataFrame | None = None, spec: DataFram
                 parts.append(schema(steps, spec))
         elif n in ("rlds_invariants", "episode_length"):
             parts.append(VALIDATORS[n](steps, episodes=episodes))
+        elif n == "timestamps":
+            parts.append(VALIDATORS[n](steps, rate_hz=rate_hz or 10.0))
         else:
             parts.append(VALIDATORS[n](steps))
     return reduce(DataFrame.unionByName, parts)

@@ -13,6 +13,8 @@ from stepweave.operators import index as X
 from stepweave.operators import stats
 from stepweave.operators import transforms as T
 from stepweave.operators import validators as V
+from stepweave.plans.logs import timed
+from stepweave.session import new_path, remove
 from stepweave.sources import sinks
 from stepweave.sources.adapters import Adapter, select_slice
 from stepweave.sources.schema import DatasetSpec
@@ -92,8 +94,11 @@ class Compiler:
     transforms: list[tuple[str, T.Transform]] = field(default_factory=list)
     validators: list[str] = field(default_factory=lambda: list(V.VALIDATORS))
     rows_per_shard: int = 10_000
+    without_rate: dict[str, Callable[[float], T.Transform]] = field(default_factory=dict)
 
     def add_transform(self, name: str, transform: T.Transform | None = None, **params: Any) -> Compiler:
+        if transform is None and name == "timestamp_canonicalize" and "rate_hz" not in params:
+            self.without_rate[name] = lambda hz: lookup(TRANSFORMS, name)(rate_hz=hz, **params)
         self.transforms.append((name, transform or lookup(TRANSFORMS, name)(**params)))
         return self
 
@@ -103,18 +108,24 @@ class Compiler:
             self.validators.append(name)
         return self
 
-    def transformed(self, steps: DataFrame) -> DataFrame:
-        return T.chain(*[t for _, t in self.transforms])(steps)
+    def transformed(self, steps: DataFrame, spec: DatasetSpec | None = None) -> DataFrame:
+        """Through all transforms; those that were given by name and no rate of their own take the spec's."""
+        for name, transform in self.transforms:
+            if name in self.without_rate and spec is not None and spec.control_rate_hz:
+                transform = self.without_rate[name](spec.control_rate_hz)
+            steps = steps.transform(transform)
+        return steps
 
     def findings(self, steps: DataFrame, spec: DatasetSpec | None, episodes: DataFrame) -> DataFrame:
         table = spec.frame(steps.sparkSession) if spec else None
-        return V.override(V.validate(steps, episodes, table, self.validators), self.severities)
+        return V.override(V.validate(steps, episodes, table, self.validators, spec.control_rate_hz if spec else None), self.severities)
 
     def validate_only(self, source: DataFrame | Adapter, spark: SparkSession, max_episodes: int | None = None, spec: DatasetSpec | None = None) -> tuple[DataFrame, DataFrame]:
         """findings, report of the first max_episodes episodes; nothing is written."""
         steps = source if isinstance(source, DataFrame) else source.steps(spark)
-        episodes = X.first_episodes(steps, max_episodes).select("episode_id").distinct()
-        findings = self.findings(self.transformed(X.slice_steps(steps, episodes)), spec, episodes)
+        steps = X.first_episodes(steps, max_episodes)
+        episodes = steps.select("episode_id").distinct()
+        findings = self.findings(self.transformed(steps, spec), spec, episodes)
         return findings, V.report(episodes, findings)
 
     def compile(self, source: DataFrame | Adapter, spark: SparkSession, path: str, selector: str | None = None, max_episodes: int | None = None, spec: DatasetSpec | None = None) -> Result:
@@ -124,23 +135,25 @@ class Compiler:
         """
         steps = select_slice(source, selector) if isinstance(source, DataFrame) else source.steps(spark, selector)
         steps = X.first_episodes(steps, max_episodes)
-        staged = f"{path.rstrip('/')}/_staged"
-        self.transformed(steps).write.mode("overwrite").parquet(staged)
+        staged = new_path(spark, "staged")
+        with timed("transform", dataset=self.dataset_id):
+            self.transformed(steps, spec).write.mode("overwrite").parquet(staged)
         ready = spark.read.parquet(staged)
         episodes = steps.select("episode_id").distinct()
-        sinks.write_findings(self.findings(ready, spec, episodes), path, "parquet")
+        with timed("validate", dataset=self.dataset_id):
+            sinks.write_findings(self.findings(ready, spec, episodes), path, "parquet")
         findings = spark.read.parquet(sinks.Layout(path).findings)
         if self.fail_fast:
             V.fail_on(findings)
         verdicts = V.triage(episodes, findings)
         kept = X.without(ready, verdicts.where("verdict = 'error'"))
         texts = T.with_task_ids(T.task_texts(kept, allow_empty=True))
-        placed = sinks.write_steps(kept, path, self.rows_per_shard, spec=spec)
-        files = texts.join(placed.select("episode_index", "file"), "episode_index").select("episode_id", "file")
-        index = X.build(kept.join(files, "episode_id"), texts, invalid=verdicts.where("verdict = 'invalid'"), parquet_file="")
-        sinks.write_index(index, path)
-        index = spark.read.parquet(sinks.Layout(path).index)
         spec = spec or DatasetSpec(self.dataset_id)
+        with timed("write", dataset=self.dataset_id):
+            placed = sinks.write_steps(kept, path, self.rows_per_shard, spec=spec if spec.observation else None)
+            files = texts.join(placed.select("episode_index", F.format_string("data/chunk=%d/shard=%d", "chunk", "shard").alias("file")), "episode_index").select("episode_id", "file")
+            sinks.write_index(X.build(kept, texts, action_space_type=spec.action_space_type, invalid=verdicts.where("verdict = 'invalid'"), files=files), path)
+        index = spark.read.parquet(sinks.Layout(path).index)
         sinks.write_info(index, spec, path)
         sinks.write_tasks(T.task_catalog(texts), path)
         sinks.write_stats(stats.feature_stats(kept), path)
@@ -148,6 +161,7 @@ class Compiler:
         report = sinks.write_report(V.report(episodes, findings), path)
         manifest = sinks.Manifest(self.dataset_id, {"selector": selector, "max_episodes": max_episodes, "rows_per_shard": self.rows_per_shard}, [self.dataset_id], [n for n, _ in self.transforms], self.validators)
         sinks.finalize(spark, index, path, manifest)
+        remove(spark, staged)
         return Result(not report["error_findings"] or report["valid_episodes"] + report["invalid_episodes"] > 0, report, path, index, findings)
 
 

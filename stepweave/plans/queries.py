@@ -65,7 +65,7 @@ def _with(*parts: str) -> str:
 
 
 def order_index(spark: SparkSession, d: str) -> DataFrame:
-    return X.build(S.order_steps(spark, d))
+    return X.build(S.order_steps(spark, d), row_ranges=False)
 
 
 def r6(c: str) -> Column:
@@ -116,7 +116,7 @@ def index_count(spark: SparkSession, d: str) -> DataFrame:
 @query(_with(_ORDERS, _INDEX) + " SELECT s.episode_id, s.step_index, s.reward FROM steps s WHERE EXISTS (SELECT 1 FROM ix WHERE ix.episode_id = s.episode_id AND num_steps >= 6)")
 def slice_steps(spark: SparkSession, d: str) -> DataFrame:
     steps = S.order_steps(spark, d)
-    return X.slice_steps(steps, X.query(X.build(steps), X.Query(min_steps=6))).select("episode_id", "step_index", "reward")
+    return X.slice_steps(steps, X.query(X.build(steps, row_ranges=False), X.Query(min_steps=6))).select("episode_id", "step_index", "reward")
 
 
 @query(_with(_ORDERS) + " SELECT episode_id, step_index FROM steps WHERE episode_index >= 100 AND episode_index < 200")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +81,8 @@ def probe(steps: DataFrame, dataset_id: str, control_rate_hz: float = 10.0) -> D
     each = steps.select(F.explode("observation").alias("key", "v")).groupBy("key").agg(F.min_by(F.struct("v.dtype", "v.shape"), F.struct("v.dtype", "v.shape")).alias("x"))
     rows = each.select("key", "x.dtype", "x.shape").orderBy("key").collect()  # as many as there are features
     observation = {r.key: FeatureSpec(r.dtype, tuple(r.shape or ()), is_video=len(r.shape or ()) >= 3 and r.shape[-1] in (1, 3, 4)) for r in rows}
-    width = steps.where("action is not null").select(F.size("action").alias("n")).first()
-    return DatasetSpec(dataset_id, observation, FeatureSpec("float32", (width.n,)) if width else None, control_rate_hz, cameras=sorted({k.rpartition(".")[2] for k in observation if "image" in k}))
+    width = steps.agg(F.max(F.size("action")).alias("n")).first().n  # of the widest action there is
+    return DatasetSpec(dataset_id, observation, FeatureSpec("float32", (width,)) if width is not None and width >= 0 else None, control_rate_hz, cameras=sorted({k.rpartition(".")[2] for k in observation if "image" in k}))
 
 
 def probe_schema(schema: T.StructType, dataset_id: str) -> DatasetSpec:
@@ -179,6 +180,35 @@ def directory(spark: SparkSession, path: str, format: str = "parquet", dataset_i
     return conform(df, STEPS, {"dataset_id": dataset_id or os.path.basename(path.rstrip("/"))})
 
 
+_PARSED = f"path string, position long, steps array<struct<is_terminal:boolean,reward:double,discount:double,action:array<double>,observation:map<string,{VALUE}>>>"
+
+
+def record_steps(spark: SparkSession, path: str, dataset_id: str, spec: DatasetSpec | None = None, check: bool = True) -> DataFrame:
+    """Steps of record files of Examples: episodes are numbered by file and place, flags and times are made anew.
+
+    The last step's action is dropped. Only a file's number of episodes is counted over all files, never a step.
+    """
+    from stepweave.sources.examples import step_rows
+    from stepweave.sources.records import RecordSource
+
+    spark.dataSource.register(RecordSource)
+    raw = spark.read.format("records").option("path", path).option("check", str(check).lower()).load()
+    features = {k: (f.dtype, list(f.shape)) for k, f in spec.observation.items()} if spec else None
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"path": pdf["path"], "position": pdf["position"], "steps": [step_rows(bytes(r), features)[1] for r in pdf["record"]]})
+
+    rows = raw.mapInPandas(parse, _PARSED)
+    files = raw.groupBy("path").agg(F.count("*").alias("n"))  # a row a file
+    begin = files.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    each = rows.join(begin, "path").withColumn("episode_index", F.col("begin") + F.col("position")).withColumn("n", F.size("steps"))
+    each = each.select("episode_index", "n", F.posexplode("steps").alias("step_index", "s")).withColumn("is_last", F.col("step_index") == F.col("n") - 1)
+    made = {"episode_id": F.format_string(f"{dataset_id}_%06d", "episode_index"), "dataset_id": F.lit(dataset_id), "is_first": F.col("step_index") == 0, "is_terminal": F.col("s.is_terminal"), "timestamp": F.col("step_index") * 0.1}
+    made |= {"action": F.when(~F.col("is_last"), F.col("s.action")), "reward": F.col("s.reward"), "discount": F.col("s.discount"), "observation": F.col("s.observation")}
+    return conform(each.withColumns(made), STEPS)
+
+
 def first_task_text(steps: DataFrame) -> Column:
     """For an aggregation by episode: its own text, else the first step's language."""
     own = F.min_by("task_text", "step_index") if "task_text" in steps.columns else F.lit(None).cast("string")

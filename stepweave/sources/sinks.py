@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import subprocess
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +77,8 @@ def write_steps(steps: DataFrame, path: str, rows_per_shard: int = 10_000, chunk
     placed = shards.flush_shards(sizes, rows_per_shard, chunk_episodes)
     offsets = X.frame_offsets(sizes)
     df = step_columns(X.with_frame_index(steps, offsets), spec, lossless).join(placed.drop("file"), "episode_index")
-    df.repartition("chunk", "shard").sortWithinPartitions("chunk", "shard", "episode_index", "step_index").write.mode("overwrite").partitionBy("chunk", "shard").parquet(Layout(path).data)
+    out = df.repartition("chunk", "shard").sortWithinPartitions("chunk", "shard", "episode_index", "step_index").write.mode("overwrite")
+    (df.limit(0).write.mode("overwrite") if placed.isEmpty() else out.partitionBy("chunk", "shard")).parquet(Layout(path).data)  # folders alone have no schema
     return placed
 
 
@@ -106,7 +111,7 @@ def write_episode_meta(index: DataFrame, path: str) -> None:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """The queryable index; an empty one is written as well. A folder for each split, so that others aren't read."""
+    """The queryable index; an empty one is written as well."""
     index.write.mode("overwrite").parquet(Layout(path).index)
 
 
@@ -120,6 +125,72 @@ def write_report(report: DataFrame, path: str) -> dict[str, Any]:
     return row
 
 
+def write_findings_csv(findings: DataFrame, path: str) -> None:
+    findings.select([c for c in findings.columns]).write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/findings.csv")
+
+
+def report_html(report: DataFrame, findings: DataFrame, limit: int = 1000) -> str:
+    """A page of the report's numbers, the findings by code, and the first limit findings (how many there are is said)."""
+    row, first = report.first().asDict(), findings.orderBy("episode_id", "ord", "step_index").limit(limit).collect()
+    codes = findings.groupBy("severity", "code").agg(F.count("*").alias("n")).orderBy("severity", "code").collect()  # one a code
+    table = lambda head, rows: "<table><tr>" + "".join(f"<th>{html.escape(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(v if v is not None else ''))}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
+    total = sum(c.n for c in codes)
+    parts = [table(["", ""], row.items()), table(["severity", "code", "findings"], codes), f"<p>{len(first)} of {total} findings</p>", table(["severity", "code", "episode", "step", "field", "message"], [(f.severity, f.code, f.episode_id, f.step_index, f.field, f.message) for f in first])]
+    return "<!doctype html><meta charset='utf-8'><title>Validation</title>" + "".join(parts)
+
+
+def write_report_html(report: DataFrame, findings: DataFrame, path: str) -> str:
+    return _put(f"{path.rstrip('/')}/meta/validation.html", report_html(report, findings))
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """The steps of several data sets as one: columns that some lack are null there; ids that more than one has are told apart by the set's id."""
+    from functools import reduce
+
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    owners = every.select("episode_id", "dataset_id").distinct().groupBy("episode_id").agg(F.count("*").alias("_owners"))
+    shared = owners.where("_owners > 1").select("episode_id", F.lit(True).alias("_shared"))
+    df = every.join(shared, "episode_id", "left")
+    return df.withColumn("episode_id", F.when(F.col("_shared"), F.concat_ws("/", "dataset_id", "episode_id")).otherwise(F.col("episode_id"))).select(*every.columns)
+
+
+def encode_videos(frames: DataFrame, placed: DataFrame, path: str, command: list[str], order: str = "episode_index") -> DataFrame:
+    """camera, shard, file, frames: each shard's frames, in order, through an external encoder's standard input.
+
+    frames: camera, episode_index, step_index, height, width, data (RGB bytes); placed: camera, episode_index, shard (see
+    shards.pack). command: the encoder, with {width}, {height} and {out} to be filled in. A shard is one task's; its frames
+    come sorted and are piped one by one, never held together.
+    """
+    layout = Layout(path)
+    df = frames.join(placed.select("camera", order, "shard"), ["camera", order]).repartition("camera", "shard").sortWithinPartitions("camera", "shard", order, "step_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = process = out = None
+        n, rows = 0, []
+
+        def close() -> None:
+            if process is not None:
+                process.stdin.close()
+                if process.wait():
+                    raise RuntimeError(f"{command[0]} failed on {out}: {process.returncode}")
+                rows.append((*key, out, n))
+
+        for b in batches:
+            for r in b.to_pylist():
+                if (r["camera"], r["shard"]) != key:
+                    close()
+                    key, n, out = (r["camera"], r["shard"]), 0, layout.video_file(r["camera"], r["shard"])
+                    Path(out).parent.mkdir(parents=True, exist_ok=True)
+                    process = subprocess.Popen([x.format(width=r["width"], height=r["height"], out=out) for x in command], stdin=subprocess.PIPE)
+                process.stdin.write(r["data"])
+                n += 1
+        close()
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["camera", "shard", "file", "frames"])
+
+    return df.select("camera", F.col("shard").cast("int").alias("shard"), order, "step_index", "height", "width", "data").mapInArrow(run, "camera string, shard int, file string, frames long")
+
+
 def export_schema(spec: DatasetSpec) -> T.StructType:
     """A nested row type of an episode: steps with observation, action, reward, discount and flags."""
     kinds = {"float32": T.FloatType(), "float64": T.DoubleType(), "int32": T.IntegerType(), "int64": T.LongType(), "uint8": T.BinaryType(), "string": T.StringType(), "bool": T.BooleanType()}
@@ -147,17 +218,34 @@ def nested(steps: DataFrame, spec: DatasetSpec, parity: bool = False) -> DataFra
     return rows.select("episode_id", F.transform("steps", lambda s: s.dropFields("step_index")).alias("steps"))
 
 
-def write_nested(steps: DataFrame, spec: DatasetSpec, path: str, episodes_per_shard: int = 100, format: str = "parquet") -> None:
-    """Nested episodes in shards of so many (format: parquet, or tfrecord for the record framing in this package)."""
-    index = steps.groupBy("episode_id").agg(F.min("episode_index").alias("episode_index"))
-    df = shards.by_hundreds(nested(steps, spec).join(index, "episode_id"), episodes_per_shard).drop("episode_index")
+def episode_records(steps: DataFrame, parity: bool = False) -> DataFrame:
+    """episode_id, episode_index, record: an Example of each episode, as record files hold it."""
+    from stepweave.sources.examples import encode_episode
+
+    parts = F.struct("step_index", "is_first", "is_last", "is_terminal", "reward", "discount", "action", F.map_entries("observation").alias("observation"))
+    rows = steps.groupBy("episode_id").agg(F.min("episode_index").alias("episode_index"), F.array_sort(F.collect_list(parts), lambda a, b: a["step_index"] - b["step_index"]).alias("steps"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            episodes = [[s | {"observation": {o["key"]: o["value"] for o in s["observation"] or ()}} for s in steps] for steps in b.column(2).to_pylist()]
+            records = [encode_episode(i, x, parity) for i, x in zip(b.column(0).to_pylist(), episodes, strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(records, pa.binary())], names=["episode_id", "episode_index", "record"])
+
+    return rows.mapInArrow(encode, "episode_id string, episode_index long, record binary")
+
+
+def write_nested(steps: DataFrame, spec: DatasetSpec, path: str, episodes_per_shard: int = 100, format: str = "parquet", parity: bool = False) -> None:
+    """Nested episodes in shards of so many (format: parquet; or tfrecord: Examples in the record framing)."""
     if format == "tfrecord":
         from stepweave.sources.records import RecordSource
 
         steps.sparkSession.dataSource.register(RecordSource)
-        df.select("shard", F.to_json("steps").cast("binary").alias("record")).repartition("shard").write.format("records").mode("overwrite").save(path)
-    else:
-        df.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+        df = shards.by_hundreds(episode_records(steps, parity), episodes_per_shard)
+        df.repartition("shard").sortWithinPartitions("shard", "episode_index").select("shard", "record").write.format("records").mode("overwrite").save(path)
+        return
+    index = steps.groupBy("episode_id").agg(F.min("episode_index").alias("episode_index"))
+    df = shards.by_hundreds(nested(steps, spec, parity).join(index, "episode_id"), episodes_per_shard).drop("episode_index")
+    df.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def export_info(index: DataFrame, spec: DatasetSpec, path: str) -> None:
@@ -166,10 +254,25 @@ def export_info(index: DataFrame, spec: DatasetSpec, path: str) -> None:
 
 
 def checksums(spark: SparkSession, path: str, bits: int = 256) -> DataFrame:
-    """file (under path), sha of every file of meta, data and videos."""
+    """file (under path), sha of every file of meta, data and videos; files are read part by part, so of any size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/[._][^/]*$|/manifest\.json$|/checksums\.json$"))
     name = F.regexp_extract("path", r"/((?:meta|data|videos)/.*)$", 1)
-    return files.select(name.alias("file"), F.sha2("content", bits).alias("sha")).where("file <> ''")
+
+    def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in parts:
+            out = []
+            for p in pdf["path"]:
+                system, where = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+                h = hashlib.new(f"sha{bits}")
+                with system.open_input_stream(where) as f:
+                    while part := f.read(1 << 22):
+                        h.update(part)
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"file": pdf["file"], "sha": out})
+
+    return files.select("path", name.alias("file")).where("file <> ''").mapInPandas(digest, "file string, sha string")
 
 
 def write_checksums(spark: SparkSession, path: str) -> None:

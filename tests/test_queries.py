@@ -3,6 +3,7 @@
 import pytest
 
 from stepweave.plans import queries as Q
+from stepweave.plans import round_trips
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
@@ -15,6 +16,10 @@ def test_runs(name, spark):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count()
 
 
+def test_round_trips_are_registered():
+    assert {"compiled_index", "record_round_trip", "streamed_validation"} <= {n for n, f in vars(round_trips).items() if n in Q.QUERIES}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -1,3 +1,4 @@
+import io
 import json
 from pathlib import Path
 
@@ -8,8 +9,9 @@ from stepweave.operators import index as X
 from stepweave.operators import validators as V
 from stepweave.plans import cli
 from stepweave.plans import compile as C
-from stepweave.sources import records, sinks
-from stepweave.sources.adapters import Adapter, directory, probe
+from stepweave.plans import logs
+from stepweave.sources import examples, records, sinks
+from stepweave.sources.adapters import Adapter, directory, probe, record_steps
 from stepweave.sources.schema import DatasetSpec, FeatureSpec
 
 
@@ -25,6 +27,10 @@ def steps(make_steps, observe):
 def test_compile_end_to_end(steps, spark, tmp_path):
     out = str(tmp_path / "c")
     r = C.Compiler("d", rows_per_shard=6).add_transform("pad_action", target_dim=3).add_validator("timestamps").compile(steps, spark, out)
+    index = {x.episode_id: (x.parquet_file, x.parquet_row_start, x.parquet_row_end) for x in r.index.collect()}
+    assert index == {"e0": ("data/chunk=0/shard=0", 0, 5), "e1": ("data/chunk=0/shard=0", 5, 10), "e3": ("data/chunk=0/shard=1", 0, 5)} and not (tmp_path / "c/_staged").exists()
+    rows = spark.read.parquet(f"{out}/{index['e1'][0]}").collect()
+    assert {x.episode_id for x in rows[5:10]} == {"e1"} and {x.episode_id for x in rows[:5]} == {"e0"}
     assert r.success and r.report["error_episodes"] == 1 and r.report["invalid_episodes"] == 1 and r.report["valid_episodes"] == 2
     stored = spark.read.parquet(f"{out}/data")
     assert stored.count() == 15 and [len(a) for a in stored.where("action is not null").toPandas()["action"]] == [3] * 12
@@ -90,7 +96,73 @@ def test_nested_export(steps, spark, tmp_path):
     sinks.write_nested(steps, spec, str(tmp_path / "r"), 2, "tfrecord")
     spark.dataSource.register(records.RecordSource)
     got = spark.read.format("records").load(str(tmp_path / "r"))
-    assert got.count() == 4 and len(json.loads(bytes(got.first().record))) == 5
+    name, lists = examples.decode_episode(bytes(got.orderBy("path", "position").first().record))
+    assert got.count() == 4 and name == "e0" and len(lists["is_first"]) == 5 and len(lists["action"][-1]) == 0
+    again = record_steps(spark, str(tmp_path / "r"), "d", spec).orderBy("episode_index", "step_index").collect()
+    was = steps.orderBy("episode_index", "step_index").collect()
+    assert [(r.step_index, r.is_first, r.is_last, r.is_terminal, r.action, r.reward, r.observation["observation.state"].num) for r in again] == [(r.step_index, r.is_first, r.is_last, r.is_terminal, r.action, r.reward, r.observation["observation.state"].num) for r in was]
+
+
+def test_the_specs_rate_counts(steps, spark, tmp_path):
+    slow = steps.withColumn("timestamp", F.col("step_index") * 0.5)
+    spec = DatasetSpec("d", control_rate_hz=2.0)
+    names = ["timestamps"]
+    assert C.Compiler("d", validators=names).validate_only(slow, spark, spec=spec)[0].count() == 0
+    assert C.Compiler("d", validators=names).validate_only(slow, spark)[0].count() == 16
+    still = steps.withColumn("timestamp", F.lit(0.0))
+    fixed = C.Compiler("d").add_transform("timestamp_canonicalize").transformed(still, spec)
+    assert [r.timestamp for r in fixed.where("episode_id = 'e0'").orderBy("step_index").collect()] == [0.0, 0.5, 1.0, 1.5, 2.0]
+
+
+def test_no_episodes(steps, spark, tmp_path):
+    r = C.Compiler("d").compile(steps.limit(0), spark, str(tmp_path / "none"))
+    assert r.index.count() == 0 and spark.read.parquet(str(tmp_path / "none/data")).count() == 0
+
+
+def test_examples_round_trip():
+    features = {"a": [b"x", "y"], "b": [1.5, -2.0], "c": [-1, 3, 2**40], "d": "text", "e": [], "f": True}
+    back = examples.decode_example(examples.encode_example(features))
+    assert (back["a"], back["b"].tolist(), back["c"].tolist(), back["d"], list(back["e"]), back["f"].tolist()) == ([b"x", b"y"], [1.5, -2.0], [-1, 3, 2**40], [b"text"], [], [1])
+    # by hand: {'n': int64 list [1, 300]}, not packed
+    raw = bytes([0x0A, 0x0E, 0x0A, 0x0C, 0x0A, 0x01]) + b"n" + bytes([0x12, 0x07, 0x1A, 0x05, 0x08, 0x01, 0x08, 0xAC, 0x02])
+    assert examples.decode_example(raw)["n"].tolist() == [1, 300]
+    flat = examples.encode_example({"steps/is_first": [1, 0], "steps/is_last": [0, 1], "steps/action": [1.0, 2.0, 3.0, 4.0], "steps/observation/state": [0.5, 1.5], "steps/language_instruction": ["go", "go"]})
+    name, rows = examples.step_rows(flat)
+    assert name == "" and [r["action"] for r in rows] == [[1.0, 2.0], [3.0, 4.0]] and rows[1]["observation"]["observation.state"]["num"] == [1.5] and rows[0]["observation"]["observation.language_instruction"]["str"] == "go"
+    with pytest.raises(ValueError, match="ends inside"):
+        examples.decode_example(raw[:-1])
+
+
+def test_videos_go_through_the_encoder(spark, tmp_path):
+    frames = spark.createDataFrame([(c, e, i, 2, 2, bytes([e * 10 + i] * 12)) for c in ("front", "wrist") for e in range(3) for i in range(2)], "camera string, episode_index long, step_index int, height int, width int, data binary")
+    placed = spark.createDataFrame([(c, e, e // 2) for c in ("front", "wrist") for e in range(3)], "camera string, episode_index long, shard int")
+    out = sinks.encode_videos(frames, placed, str(tmp_path), ["sh", "-c", "cat > {out}"]).collect()
+    assert sorted((r.camera, r.shard, r.frames) for r in out) == [("front", 0, 4), ("front", 1, 2), ("wrist", 0, 4), ("wrist", 1, 2)]
+    assert (tmp_path / "videos/front/shard_00000.mp4").read_bytes() == b"".join(bytes([k] * 12) for k in (0, 1, 10, 11))
+    with pytest.raises(Exception, match="failed on"):
+        sinks.encode_videos(frames, placed, str(tmp_path), ["sh", "-c", "cat > /dev/null; exit 3"]).collect()
+
+
+def test_merge_of_data_sets(steps, spark):
+    other = steps.withColumn("dataset_id", F.lit("other")).withColumn("more", F.lit(1))
+    both = sinks.merge(steps.where("episode_index < 2"), other)
+    assert both.count() == steps.where("episode_index < 2").count() + steps.count()
+    ids = {r.episode_id for r in both.select("episode_id").distinct().collect()}
+    assert {"d/e0", "other/e0", "e2"} <= ids and "e0" not in ids
+
+
+def test_reports_and_logs(steps, tmp_path):
+    findings = V.length(steps, 6, 100)
+    page = sinks.report_html(V.report(steps.select("episode_id").distinct(), findings), findings)
+    assert page.startswith("<!doctype html>") and "too short" in page
+    out = io.StringIO()
+    logs.configure(stream=out)
+    with logs.context(job="x"), logs.timed("work", part=1) as more:
+        more["rows"] = 3
+    with pytest.raises(ZeroDivisionError), logs.timed("bad"):
+        1 / 0
+    first, second = map(json.loads, out.getvalue().splitlines())
+    assert first["message"] == "work" and (first["job"], first["part"], first["rows"]) == ("x", 1, 3) and first["seconds"] >= 0 and second["failed"] == "ZeroDivisionError" and "job" not in second
 
 
 def test_record_framing(tmp_path):

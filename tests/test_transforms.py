@@ -85,6 +85,13 @@ def test_images(make_steps, observe):
     chw = make_steps([{"observation": {"observation.images.front": observe(None, "uint8", [3, 4, 6], data=x.transpose(2, 0, 1).tobytes())}}])
     w = chw.transform(T.standardize_images((4, 6), channels_first=True, dtype="float32")).first().observation["observation.images.front"]
     assert w["shape"] == [3, 4, 6] and w["dtype"] == "float32"
+    both = chw.transform(T.standardize_images((2, 3), interpolation="bilinear", record_shapes=True)).first()
+    assert both.image_shapes == {"observation.images.front": [3, 4, 6]} and both.observation["observation.images.front"]["shape"] == [2, 3, 3]
+    # halved: each place takes 1 : 3 : 3 : 1 of those around it, what there is of them
+    line = np.array([[[0], [10], [20], [30]]], np.uint8)
+    assert T.bilinear(line, 1, 2).ravel().tolist() == [7, 23] and T.bilinear(line, 1, 4).ravel().tolist() == [0, 10, 20, 30] and T.bilinear(line, 1, 8).ravel().tolist() == [0, 2, 8, 12, 18, 22, 28, 30]
+    none = make_steps([{"observation": None}, {"observation": {}}]).transform(T.resize_images((2, 2)))
+    assert [r.observation for r in none.orderBy("step_index").collect()] == [None, {}]
 
 
 def test_task_texts(make_steps, observe):

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepweave.operators import validators as V
 from stepweave.sources.schema import ActionMetadata, DatasetSpec, FeatureSpec
@@ -83,7 +84,34 @@ def test_triage_modes_and_summaries(make_steps):
     r = V.report(episodes, f).first()
     assert (r.episodes, r.valid_episodes, r.invalid_episodes, r.error_episodes, r.error_findings, r.warn_findings) == (3, 1, 1, 1, 1, 2)
     assert {r.severity for r in V.override(f, {"timestamps": "INFO"}).collect()} == {"INFO"}
-    assert {r.code for r in V.coded(df, episodes).collect()} >= {"W201", "W202", "W003"}
+    assert {r.code for r in V.coded(df, episodes=episodes).collect()} >= {"W201", "W202", "W003", "W004"}
+
+
+def test_documented_rules(spark, make_steps, observe):
+    img = lambda data=bytes(range(256)) * 3, shape=(16, 16, 3), dtype="uint8": observe(data=data, shape=list(shape), dtype=dtype)
+    fine = {"observation": {"observation.state": observe([1.0]), "observation.images.front": img(), "observation.images.wrist": img(), "observation.language": observe(text="go")}, "reward": None, "is_terminal": False}
+    one = lambda **k: fine | {"observation": {**fine["observation"], **{f"observation.{a.replace('_', '.')}": v for a, v in k.items()}}}
+    nan, inf = float("nan"), float("inf")
+    df = make_steps(
+        [fine] * 5 + [fine | {"is_terminal": True}], [one(state=observe([nan])), one(state=observe([inf])), one(state=observe([1.0, 2.0])), one(state=observe([1.0], "float64")), fine],
+        [one(images_front=img(dtype="int8")), one(images_front=img(shape=(16, 24, 2))), one(images_front=img(b"\0" * 768)), one(images_front=img(b"\0" * 12, (2, 2, 3))), fine],
+        [fine | {"action": [nan] * 7}, fine | {"action": [inf] * 7}, fine | {"action": [11.0] * 7, "timestamp": 0.5}, fine | {"timestamp": None}, fine | {"action": [0.0] * 7, "reward": 1.0, "timestamp": 3.0}],
+        [{"is_first": False, "observation": {"observation.language": observe(data=b"x", shape=[], dtype="string")}}, {"is_terminal": None}], [fine | {"observation": {"observation.images.front": img()}}] * 5,
+    )
+    spec = DatasetSpec("", {"observation.images.front": FeatureSpec("uint8", (16, 16, 3)), "observation.images.wrist": FeatureSpec("uint8", (16, 16, 3))}, control_rate_hz=10.0, cameras=["front", "wrist"])
+    episodes = df.select("episode_id").distinct().union(spark.createDataFrame([("none",)], "episode_id string"))
+    got: dict = {}
+    for r in V.coded(df.withColumn("robot_id", F.when(F.col("episode_id") != "e1", "arm")), spec, episodes).collect():
+        assert r.message == V.CODES[r.code] and r.severity == {"E": "ERROR", "W": "WARN", "I": "INFO"}[r.code[0]]
+        got.setdefault(r.episode_id, set()).add((r.code, r.step_index, (r.field or "").removeprefix("observation.")))
+    s, f = "state", "images.front"
+    assert got["e0"] == set() if "e0" in got else True
+    assert got["e1"] == {("W101", 0, s), ("W102", 1, s), ("E005", None, s), ("E006", None, s), ("W006", 4, ""), ("W502", 0, "")}
+    assert got["e2"] == {("W301", 0, f), ("W302", 1, f), ("I301", 2, f), ("I302", 1, f), ("E005", None, f), ("E006", None, f), ("W006", 4, "")}
+    assert got["e3"] >= {("W103", 0, ""), ("W104", 1, ""), ("W105", 1, ""), ("I201", 3, ""), ("W002", 4, ""), ("W003", 4, ""), ("W202", 2, ""), ("I202", None, "")}
+    assert got["e4"] >= {("E001", None, ""), ("E004", None, ""), ("W001", 1, ""), ("W004", None, ""), ("W008", 0, ""), ("W402", None, "images.front"), ("W402", None, "images.wrist")}
+    assert got["e5"] == {("W402", None, "images.wrist"), ("I401", None, ""), ("W007", None, ""), ("W006", 4, "")}
+    assert got["none"] == {("E003", None, "")} and got[None] == {("W501", None, ""), ("W503", None, "")}
 
 
 def test_action_metadata(spark):
