@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stepweave.llm import textnp
+from stepweave.session import new_path, shared_dir  # noqa: F401
 
 #: Rows of a long key that may be broadcast; beyond it a shuffled join does the same.
 BROADCAST_ROWS = 1_000_000
-#: Characters that are handled at once in a Python worker.
+#: Bytes of text that are handled at once in a Python worker; a longer text is handled alone.
 BATCH_CHARS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not there:
-        there = tempfile.mkdtemp(prefix="stepweave-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(there)
-    return there
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: The texts' name on the way to Python.
+TEXT = "text"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,14 +34,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, whatever it has in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, made: Iterable[str]) -> list[str]:
+    """df's columns without those that made ones of the same name, in whatever case, replace."""
+    gone = {n.lower() for n in made}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has in any case: name, with underscores before it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = "_" + name
+    return name
+
+
+def whole_id(name: str) -> Column:
+    """An id as a number; what is none counts as null."""
+    return quoted(name).try_cast("long")
+
+
+def carried(docs: DataFrame, text_col: str, stay: list[str], *more: Column) -> tuple[DataFrame, list[str]]:
+    """The texts (TEXT) and the columns stay under names of their own, and these; a text that stays is there once."""
+    names = [TEXT if c.lower() == text_col.lower() and docs.schema[c].dataType == T.StringType() else f"c{k}" for k, c in enumerate(stay)]
+    return docs.select(quoted(text_col).cast("string").alias(TEXT), *more, *[quoted(c).alias(n) for c, n in zip(stay, names, strict=True) if n != TEXT]), names
+
+
+#: What this worker keeps from task to task, by the kind of task.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    return _KEPT.setdefault(kind, {})
+
+
+def task_begins(kind: str = "") -> None:
+    """Called as a task begins in a worker, which may have run other kinds of tasks: what those kept goes."""
+    old = [k for k, x in _KEPT.items() if x and k != kind]
+    for k in old:
+        _KEPT[k].clear()
+    if old:
+        release()
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, kind: str = "") -> DataFrame:
+    """df.mapInArrow; its workers give memory back after each task, since they stay for the next ones."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_begins(kind)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def release() -> None:
+    """Gives unused memory back to the system."""
+    textnp.forget()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fits(ids: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ids has at most limit rows; it stops counting beyond that."""
     return ids.limit(limit + 1).count() <= limit
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """df's rows whose key is (left_anti: isn't) among ids.key. ids is broadcast only if it is small."""
-    return df.join(F.broadcast(ids) if fits(ids) else ids, key, how)
+    """df's rows whose key is (left_anti: isn't) in the one column of ids, which are integers. ids is broadcast only if it is small."""
+    ids = ids.select(quoted(ids.columns[0]).alias(name := unused(df, "sought")))
+    return df.join(F.broadcast(ids) if fits(ids) else ids, whole_id(key) == F.col(name), how)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
@@ -70,5 +130,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = B
         yield batch.slice(begin, n - begin)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def texts_of(batch: pa.RecordBatch, name: str = TEXT) -> list[str | None]:
+    return column(batch, name).to_pylist()

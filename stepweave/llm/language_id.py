@@ -6,11 +6,12 @@ trained by follow-the-regularised-leader with per-coordinate rates and an elasti
 zero. Its logits are then divided by a temperature that minimises the log loss of held-out texts.
 
 Training uses a sample of labelled rows of at most max_labelled (a parameter), chosen by hash, whole texts; it runs in one
-task. Scoring covers all documents, whole, and touches each n-gram once.
+task, to which only their features come. Scoring covers all documents, whole, and touches each n-gram once.
 
 Defined cases: null or letterless text: language null, confidence null. No labelled rows: likewise for all. One label
-only: that one, with confidence 1. Null label: not used in training. Ties: the language that is first by name. Repeated
-rows: each is scored. Other columns stay; result columns replace those of the same name.
+only: that one, with confidence 1. Null label: not used in training. Ties: the language that is first by name. Very long
+texts: whole. Repeated rows: each is scored; equal texts of one label are learned from once. Ids play no part. Empty
+tables: no rows. Other columns stay; result columns replace those of the same name, in whatever case.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepweave.llm.common import slices, texts_of
-from stepweave.llm.textnp import codepoints, mix, tables
+from stepweave.llm.common import carried, column, map_arrow, others, quoted, slices, texts_of
+from stepweave.llm.textnp import codepoints, counted, distinct, mix, tables
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 6_000
@@ -69,10 +70,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(BUCKETS, np.int64), 0
     for b in slices(batches):
         f, bounds = features(texts_of(b))
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            seen = np.zeros(BUCKETS, bool)
-            seen[f[i:j]] = True
-            total += seen
+        of = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+        total += np.bincount(distinct(np.sort(of * BUCKETS + f)) % BUCKETS, minlength=BUCKETS)
         n += b.num_rows
     there = np.flatnonzero(total)
     yield pa.record_batch({"feature": pa.array(np.append(there, -1)), "n": pa.array(np.append(total[there], n))})
@@ -80,7 +79,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """Of each feature, over all rows of texts (text)."""
-    found = texts.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    found = map_arrow(texts, _frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     df, n = np.zeros(BUCKETS), 0
     for f, k in zip(found.feature.tolist(), found.n.tolist(), strict=True):
         if f < 0:
@@ -121,18 +120,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, held_out: float = 0.2) -> Model:
-    """FTRL-proximal over the texts in their order; the last held_out of them set the temperature."""
+def rows_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its features in order, and their shares."""
+    f, bounds = features(texts)
+    out = []
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        ids, n = counted(np.sort(f[i:j]))
+        out.append((ids, n / max(j - i, 1)))
+    return out
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, held_out: float = 0.2) -> Model:
+    """FTRL-proximal over the rows (see rows_of) in their order; the last held_out of them set the temperature."""
     languages = sorted(set(labels))
     if len(languages) < 2:
         return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0)
-    k, rows = len(languages), []
-    for begin in range(0, len(texts), 200):
-        part = texts[begin : begin + 200]
-        f, bounds = features(part)
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            ids, n = np.unique(f[i:j], return_counts=True)
-            rows.append((ids, SCALE * n / max(j - i, 1) * idf[ids]))
+    k = len(languages)
+    rows = [(ids, SCALE * share * idf[ids]) for ids, share in rows]
     y = np.array([languages.index(x) for x in labels])
     used = max(1, len(rows) - int(held_out * len(rows)))
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
@@ -166,10 +170,16 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = 3,
     return model
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        rows = rows_of(texts_of(b))
+        yield pa.record_batch([column(b, "key"), column(b, "label"), pa.array([x.astype(np.int32).tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["key", "label", "ids", "shares"])
+
+
 def _trainer(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["key"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
-        model = train([r[1] for r in rows], [r[2] for r in rows], idf.value)
+        rows = sorted(((r["key"], r["label"], r["ids"], r["shares"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        model = train([(np.frombuffer(r[2], np.int32).astype(np.int64), np.frombuffer(r[3], np.float64)) for r in rows], [r[1] for r in rows], idf.value)
         there = np.flatnonzero(np.abs(model.weights).sum(axis=1))
         yield pa.record_batch({"model": pa.array([pickle.dumps((model.languages, there, model.weights[there], model.bias, model.temperature))], pa.binary())})
 
@@ -179,13 +189,14 @@ def _trainer(idf):
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_labelled: int = MAX_LABELLED) -> Model:
     """A model of the labelled rows among docs; inverse document frequencies are those of all docs."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text is not null")
+    texts = docs.select(quoted(text_col).cast("string").alias("text"), quoted(label_col).cast("string").alias("label")).where("text is not null")
     idf = inverse_frequencies(texts.select("text"))
-    # the hashes of the sample first, so that texts of those rows only are moved; repeated texts count once
+    # the hashes of the sample first, so that texts of those rows only are looked at; repeated texts count once
     key = F.xxhash64("text", "label")
     chosen = texts.where("label is not null").select(key.alias("key")).distinct().orderBy("key").limit(max_labelled)
-    sample = texts.where("label is not null").select(key.alias("key"), "text", "label").join(F.broadcast(chosen), "key").dropDuplicates(["key"])
-    found = sample.coalesce(1).mapInArrow(_trainer(spark.sparkContext.broadcast(idf)), "model binary").first()
+    sample = texts.where("label is not null").select(key.alias("key"), "text", "label").join(F.broadcast(chosen), "key")
+    featured = map_arrow(sample, _featured, "key long, label string, ids binary, shares binary").dropDuplicates(["key"])
+    found = map_arrow(featured.coalesce(1), _trainer(spark.sparkContext.broadcast(idf)), "model binary").first()
     if found is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     languages, there, w, bias, temperature = pickle.loads(found.model)
@@ -197,14 +208,14 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_la
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with language and confidence."""
     made = ("language", "confidence")
-    kept = [f for f in docs.schema.fields if f.name not in made]
-    schema = T.StructType([*kept, T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    stay = [docs.schema[c] for c in others(docs, made)]
+    schema = T.StructType([*stay, T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, names = carried(docs, text_col, [f.name for f in stay])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            languages, confidence = zip(*shared.value.predict(texts_of(b, text_col)), strict=True)
-            new = {"language": pa.array(languages, pa.string()), "confidence": pa.array(confidence, pa.float64())}
-            yield pa.record_batch([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n in schema.names], names=schema.names)
+        for b in slices(batches):
+            languages, confidence = zip(*shared.value.predict(texts_of(b)), strict=True)
+            yield pa.record_batch([*(column(b, c) for c in names), pa.array(languages, pa.string()), pa.array(confidence, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -14,7 +14,7 @@ inside it, a line or a run or a window, matches the template too.
 The index of the templates' prefixes is broadcast; where templates are many, a bounded number of them at a time. Texts
 aren't shuffled. Word counts cover all texts. They decide how much work is done, never what is found.
 
-Defined cases: null text or null id: takes no part. Empty text: no blocks. A template without words: never found. A block
+Defined cases: null text, null id or one that is no integer: takes no part. Empty text: no blocks. Very long texts: whole. A template without words: never found. A block
 that ties on several templates matches all of them. A line of a block that is one line is reported once, as a line; a
 block of several lines only for templates that none of its lines matches. Repeated rows: reported once. Empty tables: no
 matches. Other columns are ignored.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import slices, texts_of
+from stepweave.llm.common import map_arrow, quoted, slices, texts_of, whole_id
 from stepweave.llm.textnp import distinct, words
 
 THRESHOLD = 0.85
@@ -223,7 +223,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    rows = docs.select(whole_id(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     names, texts = zip(*sorted((TEMPLATES if templates is None else templates).items()), strict=True) if (TEMPLATES if templates is None else templates) else ((), ())
     w = words(list(texts))
     bounds = np.searchsorted(w.doc, np.arange(len(names) + 1))
@@ -241,8 +241,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         vocabulary = distinct(np.sort(np.concatenate([*part.values(), np.zeros(0, np.uint64)])))
         if not len(vocabulary):
             continue
-        found = rows.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        found = map_arrow(rows.select("text"), _counts(spark.sparkContext.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         counts = dict(zip(found.word.to_numpy(np.int64).view(np.uint64).tolist(), found.n.tolist(), strict=True))
         index = spark.sparkContext.broadcast(build(part, counts, threshold, lengths))
-        out = out.union(rows.mapInArrow(_matches(index, windows), out.schema))
+        out = out.union(map_arrow(rows, _matches(index, windows), out.schema))
     return out.distinct()

@@ -8,20 +8,25 @@ decided by it; those near it get an exact distinct count. A line that reaches th
 Lines are compared by a 64-bit hash of their text without outer spaces. Lines of fewer than min_chars characters, blank
 ones included, always stay.
 
-Defined cases: null text or null doc_id: the row stays as it is and its lines don't count. Null site: a site of its own.
-Rows of the same doc_id are one document: a line that comes first there stays in each of them. A text that loses all its
-lines becomes empty; no row goes. Other columns stay; one that is called as the count of removed lines is replaced.
+Defined cases: null text, null doc_id or one that is no integer: the row stays as it is and its lines don't count. Null
+site: a site of its own. Rows of the same doc_id are one document: a line that comes first there stays in each of them. Of
+equal lines in one document the first place is first. A text that loses all its lines becomes empty; no row goes. Very long
+texts: whole. Empty tables: no rows. Other columns stay, whatever they are called; one that is called as the count of
+removed lines, in whatever case, is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepweave.llm.common import BROADCAST_ROWS, cut, fits, semi
+from stepweave.llm.common import BROADCAST_ROWS, TEXT, column, cut, fits, map_arrow, others, quoted, semi, slices, texts_of, whole_id
 
 LG_K = 12
 #: Three standard errors of a sketch of 2**12 registers.
@@ -34,7 +39,7 @@ def _key(line: Column | str) -> Column:
 
 def lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """key, site, id, place of each line that counts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    rows = docs.select(whole_id(id_col).alias("id"), F.coalesce(quoted(site_col).cast("string"), F.lit("\0")).alias("site"), quoted(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     each = rows.select("id", "site", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     return each.where(F.length(F.trim("line")) >= min_chars).select(_key("line").alias("key"), "site", "id", "place")
 
@@ -50,49 +55,51 @@ def spread_lines(docs: DataFrame, min_sites: int = 3, min_chars: int = 10, id_co
     return clear.union(near.join(exact, "key", "left_semi").select("key", "id", "place"))
 
 
-def _cleaner(spread, min_chars: int):
-    @F.pandas_udf("text string, gone int")
-    def clean(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+def _cleaner(spread, min_chars: int, fields: list[tuple[str, str]]):
+    """fields: names, and the columns or results that they are of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, places = spread.value
-        if (first := getattr(spread, "by_key", None)) is None:
-            first = spread.by_key = dict(zip(keys.tolist(), zip(docs.tolist(), places.tolist(), strict=True), strict=True))
-        digest, out, gone = xxhash.xxh64_intdigest, [], []
-        for i, text in zip(ids, texts, strict=True):
-            if text is None:
-                out.append(text)
-                gone.append(0)
-                continue
-            kept, all_lines = [], text.split("\n")
-            for place, line in enumerate(all_lines):
-                bare = line.strip(" ")
-                if len(bare) >= min_chars:
-                    h = digest(bare.encode(), 42)
-                    at = first.get(h - (1 << 64) if h >> 63 else h)
-                    if at is not None and at != (i, place):
-                        continue
-                kept.append(line)
-            out.append("\n".join(kept) if len(kept) < len(all_lines) else text)
-            gone.append(len(all_lines) - len(kept))
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "gone": pd.Series(gone, dtype="int32")})
-
-    return clean
+        first = dict(zip(keys.tolist(), zip(docs.tolist(), places.tolist(), strict=True), strict=True))
+        digest = xxhash.xxh64_intdigest
+        for b in slices(batches):
+            out, gone = [], []
+            for i, text in zip(column(b, "id").to_pylist(), texts_of(b), strict=True):
+                if text is None or i is None:
+                    out.append(text)
+                    gone.append(0)
+                    continue
+                stay, every = [], text.split("\n")
+                for place, line in enumerate(every):
+                    bare = line.strip(" ")
+                    if len(bare) >= min_chars:
+                        h = digest(bare.encode(), 42)
+                        at = first.get(h - (1 << 64) if h >> 63 else h)
+                        if at is not None and at != (i, place):
+                            continue
+                    stay.append(line)
+                out.append("\n".join(stay) if len(stay) < len(every) else text)
+                gone.append(len(every) - len(stay))
+            made = {TEXT: pa.array(out, pa.string()), "gone": pa.array(gone, pa.int32())}
+            yield pa.record_batch([made[c] if c in made else column(b, c) for _, c in fields], names=[n for n, _ in fields])
+
+    return run
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = 3, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", removed_col: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with text_col without its spread lines, and removed_col (if named): how many lines went."""
     spread = cut(spread_lines(docs, min_sites, min_chars, id_col, text_col, site_col))
-    others = [c for c in docs.columns if c not in (text_col, removed_col)]
-    column = lambda c: F.col(f"`{c}`")
-    order = [c for c in docs.columns if c != removed_col]
+    columns = others(docs, [removed_col] * bool(removed_col))
+    fields = [(c, TEXT if c.lower() == text_col.lower() else f"c{k}") for k, c in enumerate(columns)] + [(removed_col, "gone")] * bool(removed_col)
+    rows = docs.select(whole_id(id_col).alias("id"), quoted(text_col).cast("string").alias(TEXT), *[quoted(n).alias(c) for n, c in fields if c not in (TEXT, "gone")])
     if fits(spread, broadcast_rows):
         found = spread.toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((found.key.to_numpy(np.int64), found.id.to_numpy(np.int64), found.place.to_numpy(np.int64)))
-        cleaned = docs.select(*[column(c) for c in others], _cleaner(shared, min_chars)(F.coalesce(column(id_col).cast("long"), F.lit(0)), F.when(column(id_col).isNotNull(), column(text_col).cast("string"))).alias("_cleaned"), column(text_col).alias("_text"))
-        return cleaned.select(*[F.coalesce("_cleaned.text", "_text").alias(c) if c == text_col else column(c) for c in order], *([F.col("_cleaned.gone").alias(removed_col)] if removed_col else []))
+        schema = T.StructType([T.StructField(n, T.StringType()) if c == TEXT else T.StructField(n, T.IntegerType()) if c == "gone" else docs.schema[n] for n, c in fields])
+        return map_arrow(rows, _cleaner(shared, min_chars, fields), schema)
     first = spread.select("key", F.col("id").alias("first_id"), F.col("place").alias("first_place"))
     goes = lines(docs, min_chars, id_col, text_col, site_col).join(first, "key").where("id <> first_id or place <> first_place")
-    goes = goes.groupBy(F.col("id").alias("_id")).agg(F.collect_set("place").alias("_places"))
-    joined = docs.join(goes, column(id_col).cast("long") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split(column(text_col), "\n", -1), lambda _, i: ~F.array_contains("_places", i)), "\n")
-    text = F.when(F.col("_places").isNull() | column(text_col).isNull(), column(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else column(c) for c in order], *([F.coalesce(F.size("_places"), F.lit(0)).cast("int").alias(removed_col)] if removed_col else []))
+    goes = goes.groupBy("id").agg(F.collect_set("place").alias("places"))
+    left = F.array_join(F.filter(F.split(TEXT, "\n", -1), lambda _, i: ~F.array_contains("places", i)), "\n")
+    made = {TEXT: F.when(F.col("places").isNull() | F.col(TEXT).isNull(), F.col(TEXT)).otherwise(left), "gone": F.when(F.col(TEXT).isNull(), 0).otherwise(F.coalesce(F.size("places"), F.lit(0))).cast("int")}
+    return rows.join(goes, "id", "left").select(*[made.get(c, F.col(c)).alias(n) for n, c in fields])

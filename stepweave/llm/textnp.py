@@ -45,6 +45,12 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES
 
 
+def forget() -> None:
+    """Leaves what was made for texts so far."""
+    global _POWERS
+    _POWERS = _POWERS[:, :1].copy()
+
+
 def powers(n: int) -> np.ndarray:
     global _POWERS
     if _POWERS.shape[1] < n:

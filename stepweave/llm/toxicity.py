@@ -12,9 +12,11 @@ toxic texts, and hardly in others. Copies of a text share their contexts, so the
 labelled clean texts have are words of their own and don't count. max_labelled bounds the labelled texts that are read for
 this; scoring covers all texts, whole.
 
-Defined cases: null or empty text: score 0, not toxic. No labels: the built-in lexicon alone. Labels that contradict each
-other: a text that any label calls toxic is. Repeated rows: each gets its score. Other columns stay; result columns
-replace those of the same name.
+Defined cases: null or empty text: score 0, not toxic. No labels, or no integers as labels or their ids: the built-in
+lexicon alone. Labels that contradict each other: a text that any label calls toxic is. Words of fewer than four letters are
+never learned, longer ones than 40 only as stems. Very long texts: whole; a longer text has more to be found in it. Ties
+between terms: the heavier, then the less edited one, then by name. Repeated rows: each gets its score. Empty tables: no
+rows. Other columns stay; result columns replace those of the same name, in whatever case.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepweave.llm.common import slices, texts_of
+from stepweave.llm.common import carried, column, map_arrow, others, quoted, slices, texts_of, whole_id
 from stepweave.llm.textnp import Words, words
 
 BUILT_IN = ("idiot idiots idiotic moron morons moronic imbecile imbeciles stupid scum scumbag vermin trash worthless clown loser losers pathetic disgusting bastard asshole bitch "
@@ -243,12 +246,13 @@ def in_quotes(text: str, start: int, end: int) -> bool:
 # -- learning terms -------------------------------------------------------------------------------------------------
 
 MAX_LABELLED = 10_000
-_WORD = re.compile(r"[^\W\d_]{4,40}")
+_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
 def _keys(word: str) -> Iterable[str]:
-    """The word as '=word' and its stems as '<stem'."""
-    yield "=" + word
+    """The word (unless it is very long) as '=word' and its stems as '<stem'."""
+    if len(word) <= 40:
+        yield "=" + word
     for k in range(4, min(8, len(word) - 1)):
         yield "<" + word[:k]
 
@@ -260,7 +264,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts_of(b):
             found = [m.group() for m in _WORD.finditer((text or "").lower())]
             for i, x in enumerate(found):
-                context = hash((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""))
+                around = f"{found[i - 1] if i else ''} {found[i + 1] if i + 1 < len(found) else ''}"
+                context = xxhash.xxh64_intdigest(around) - (1 << 63)
                 rows.update((k, context, x[len(k) - 1 :][:4]) for k in _keys(x))
         keys, contexts, ends = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.record_batch({"key": pa.array(keys, pa.string()), "context": pa.array(contexts, pa.int64()), "ending": pa.array(ends, pa.string())})
@@ -291,20 +296,21 @@ def _counter(candidates, matcher: Matcher):
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 5, share: float = 0.015, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The built-in lexicon and what the labelled documents add. labels: doc_id, toxic (0 or 1)."""
     spark = docs.sparkSession
-    some = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    some = labels.select(whole_id("doc_id").alias("id"), F.col("toxic").try_cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(whole_id(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).where("text is not null")
     texts = texts.join(F.broadcast(some), "id").select("text", "toxic")  # at most max_labelled rows are broadcast
     n_toxic = some.where("toxic = 1").count()
     if not n_toxic:
         return Lexicon()
     support = max(least, int(share * n_toxic))
-    seen = texts.where("toxic = 1").select("text").mapInArrow(_contexts, "key string, context long, ending string")
+    seen = texts.where("toxic = 1").select("text")
+    seen = map_arrow(seen, _contexts, "key string, context long, ending string")
     seen = seen.groupBy("key").agg(F.countDistinct("context").alias("contexts"), F.approx_count_distinct("ending").alias("endings")).where(F.col("contexts") >= support)
     contexts = {r.key: (r.contexts, r.endings) for r in seen.collect()}  # at most the words of toxic labelled texts / support
     lexicon = Lexicon()
     shared = spark.sparkContext.broadcast(frozenset(contexts))
-    counts = texts.mapInArrow(_counter(shared, Matcher(lexicon)), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    counts = map_arrow(texts, _counter(shared, Matcher(lexicon)), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     by = {r.key: (r.toxic, r.clean) for r in counts}
     all_toxic, all_clean = by.get("*", (0, 0))
     # a term is at least a hundred times as likely in a toxic text as in a clean one, and not by chance among so many candidates
@@ -345,33 +351,33 @@ def _stems(found: dict[str, tuple[int, int]]) -> list[str]:
 # -- scoring --------------------------------------------------------------------------------------------------------
 
 
-def scorer(lexicon: Lexicon):
-    """A column function: struct of score, n_terms, n_quoted, toxic of a text."""
-    matchers: list[Matcher] = []
+_MADE = (("score", T.DoubleType()), ("n_terms", T.IntegerType()), ("n_quoted", T.IntegerType()), ("toxic", T.BooleanType()))
 
-    @F.pandas_udf("score double, n_terms int, n_quoted int, toxic boolean")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        if not matchers:
-            matchers.append(Matcher(lexicon))
-        rows, values, begin, size = [], [None if t is None or t != t else t for t in texts], 0, 0
-        for i, t in enumerate(values):
-            size += len(t or "")
-            if size > 1_500_000 or i + 1 == len(values):
-                rows += matchers[0].scores(values[begin : i + 1])
-                begin, size = i + 1, 0
-        out = pd.DataFrame(rows, columns=["score", "n_terms", "n_quoted"]).astype({"score": float, "n_terms": "int32", "n_quoted": "int32"})
-        return out.assign(toxic=out.score >= THRESHOLD)
 
-    return score
+def _scored(docs: DataFrame, lexicon: Lexicon, text_col: str, stay: list[str], drop: bool) -> DataFrame:
+    """The columns stay, with scores, or, with drop, without the toxic rows."""
+    made = () if drop else _MADE
+    schema = T.StructType([docs.schema[c] for c in stay] + [T.StructField(n, t) for n, t in made])
+    rows, names = carried(docs, text_col, stay)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for b in slices(batches):
+            score, terms, quotes = (np.array(x) for x in zip(*matcher.scores(texts_of(b)), strict=True))
+            toxic = score >= THRESHOLD
+            if drop:
+                b = b.filter(pa.array(~toxic))
+            found = () if drop else (pa.array(score, pa.float64()), pa.array(terms, pa.int32()), pa.array(quotes, pa.int32()), pa.array(toxic))
+            yield pa.record_batch([*(column(b, c) for c in names), *found], names=schema.names)
+
+    return map_arrow(rows, run, schema)
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """docs with score, n_terms, n_quoted, toxic."""
-    names = ("score", "n_terms", "n_quoted", "toxic")
-    scored = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], scorer(lexicon)(F.col(f"`{text_col}`").cast("string")).alias("_toxicity"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_toxicity.{c}").alias(c) for c in names])
+    return _scored(docs, lexicon, text_col, others(docs, [n for n, _ in _MADE]), False)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """docs without those that are toxic."""
-    return docs.where(~scorer(lexicon)(F.col(f"`{text_col}`").cast("string"))["toxic"])
+    return _scored(docs, lexicon, text_col, docs.columns, True)
