@@ -10,12 +10,14 @@ mustn't be less than the disclosure threshold, GENERALISE bits. A term that leav
 [NUMBER], a capitalised word to [NAME], others to [TERM]); one that leaves less than REMOVE bits is removed.
 
 A term counts as seen near an entity only in so many different contexts (its neighbours at either side) at least, so that
-neither chance nor copies of one text make a disclosure. Counts cover all texts; terms near entities are counted there,
-then their numbers in all texts. A broadcast list of terms is checked in size, and joined by a shuffle beyond.
-
-Defined cases: null text: stays null. Empty text: stays. No entities: texts stay as they are. Null or repeated ids, repeated
-rows: each row is sanitised; ids play no part. A term near several entities: the least that is left decides. Other columns
-stay; result columns replace those of the same name.
+neither chance nor copies of one text make a disclosure; contexts=1 decides all terms. Counts cover all texts; places inside
+entities are left out of n(t) and of n(t, e). Terms near entities are counted there, then their numbers in all texts. A
+broadcast list of terms is checked in size, and joined by a shuffle beyond.
+
+Defined cases: null text: stays null. Empty text: stays. No entities: texts stay as they are. Words of fewer than min_term
+letters are no terms. Very long texts: whole. Null or repeated ids, repeated rows: each row is sanitised; ids play no part.
+A term near several entities: the least that is left decides. Empty tables: no rows. Other columns stay; result columns
+replace those of the same name, in whatever case.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepweave.llm.common import BROADCAST_ROWS, cut, fits, slices, texts_of
+from stepweave.llm.common import BROADCAST_ROWS, TEXT, column, cut, fits, map_arrow, others, quoted, slices, texts_of
 from stepweave.llm.textnp import counted, words
 
 WINDOW = 8
@@ -108,21 +110,24 @@ def _may_have(text: str | None) -> bool:
     return bool(text) and ("@" in text or _NUMBER.search(text) is not None)
 
 
-def _terms(texts: list[str]) -> tuple:
+def _terms(texts: list[str], min_term: int) -> tuple:
     """Words, and which of them are terms."""
     w = words(texts)
-    return w, (w.end - w.start) >= MIN_TERM
+    return w, (w.end - w.start) >= min_term
+
 
+def near(texts: list[str | None], window: int = WINDOW, min_term: int = MIN_TERM) -> list[tuple[int | None, int, int | None]]:
+    """(entity, term, context) as hashes: each time that a term is near an entity; once even if it is near several mentions.
 
-def near(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(entity, term, context) as hashes: each time that a term is near an entity; once even if it is near several mentions."""
+    (None, term, None): each time that a term is inside an entity.
+    """
     some = [t for t in texts if _may_have(t)]
     found = [mentions(t) for t in some]
     some, found = [t for t, f in zip(some, found, strict=True) if f], [f for f in found if f]
     if not some:
         return []
-    w, good = _terms(some)
-    out: list[tuple[int, int, int]] = []
+    w, good = _terms(some, min_term)
+    out: list[tuple[int | None, int, int | None]] = []
     for d, spans in enumerate(found):
         a, b = (int(x) for x in np.searchsorted(w.doc, [d, d + 1]))
         start, end = w.start[a:b], w.end[a:b]
@@ -132,6 +137,7 @@ def near(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int,
             i, j = int(np.searchsorted(end, begin, side="right")), int(np.searchsorted(start, stop, side="left"))
             inside[i:j] = True
             limits.append((i, j, xxhash.xxh64_intdigest(f"{kind}:{value}") >> 1))
+        out += [(None, int(w.hash[a + k]) - (1 << 63), None) for k in np.flatnonzero(inside[: b - a] & good[a:b]).tolist()]
         by: dict[int, set[int]] = defaultdict(set)
         for i, j, entity in limits:
             by[entity].update(range(max(0, i - window), i), range(j, min(b - a, j + window)))
@@ -143,10 +149,10 @@ def near(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int,
     return out
 
 
-def _near(window: int):
+def _near(window: int, min_term: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = near(texts_of(b), window)
+            rows = near(texts_of(b), window, min_term)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["entity", "term", "context"])
 
@@ -158,12 +164,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _numbers(wanted):
+def _numbers(wanted, min_term: int):
     """How often each wanted term is in the texts; all terms if wanted is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            w, good = _terms(texts_of(b))
+            w, good = _terms(texts_of(b), min_term)
             h = _signed(w.hash[good])
             if wanted is not None:
                 known = wanted.value
@@ -175,22 +181,24 @@ def _numbers(wanted):
     return run
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = BROADCAST_ROWS, min_term: int = MIN_TERM) -> DataFrame:
     """term (a hash), gone (whether it goes, or else is generalised), left (bits), of the terms that disclose too much."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    together = texts.mapInArrow(_near(window), "entity long, term long, context long")
+    texts = docs.select(quoted(text_col).cast("string").alias("text")).where("text is not null")
+    together = map_arrow(texts, _near(window, min_term), "entity long, term long, context long")
     # copies bring the same contexts: they are counted once for support, and each time for shares
-    pairs = together.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
+    together = cut(together.groupBy("entity", "term", "context").agg(F.count("*").alias("n")))
+    pairs = together.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
     candidates = cut(pairs.where(F.col("contexts") >= contexts).groupBy("term").agg(F.max("both").alias("both")))
     if fits(candidates, broadcast_rows):
         known = np.sort(candidates.select("term").toPandas().term.to_numpy(np.int64))
         if not len(known):
             return spark.createDataFrame([], "term long, gone boolean, left double")
-        numbers = texts.mapInArrow(_numbers(spark.sparkContext.broadcast(known)), "term long, n long")
+        numbers = map_arrow(texts, _numbers(spark.sparkContext.broadcast(known), min_term), "term long, n long")
     else:
-        numbers = texts.mapInArrow(_numbers(None), "term long, n long")
-    left = numbers.groupBy("term").agg(F.sum("n").alias("n")).join(candidates, "term").select("term", F.log2(F.col("n") / F.col("both")).alias("left"))
+        numbers = map_arrow(texts, _numbers(None, min_term), "term long, n long")
+    inside = together.where("entity is null").select("term", (-F.col("n")).alias("n"))
+    left = numbers.union(inside).groupBy("term").agg(F.sum("n").alias("n")).join(candidates, "term").select("term", F.log2(F.col("n") / F.col("both")).alias("left"))
     return left.where(F.col("left") < generalise).select("term", (F.col("left") < remove).alias("gone"), "left")
 
 
@@ -208,11 +216,11 @@ def sanitise_text(text: str, spans: list[tuple[int, int, str, str]], terms: list
     return "".join([*out, text[at:]])
 
 
-def _sanitised(texts: list[str | None], terms: np.ndarray, gone: np.ndarray) -> list[tuple[str | None, int, int]]:
+def _sanitised(texts: list[str | None], terms: np.ndarray, gone: np.ndarray, min_term: int) -> list[tuple[str | None, int, int]]:
     """Each text sanitised, its number of entities and of terms; terms: sorted hashes as in tables."""
     places: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
     if len(terms):
-        w, good = _terms(texts)
+        w, good = _terms(texts, min_term)
         h = _signed(w.hash)
         at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
         for i in np.flatnonzero((terms[at] == h) & good).tolist():
@@ -228,44 +236,49 @@ def _sanitised(texts: list[str | None], terms: np.ndarray, gone: np.ndarray) ->
 _MADE = ("n_entities", "n_terms")
 
 
-def _run(fields: list[str], text_col: str, shared):
+def _run(fields: list[tuple[str, str]], shared, min_term: int):
+    """fields: names, and the columns or results that they are of. shared: all terms, or None where each row has its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches):
             if shared is not None:
-                rows = _sanitised(texts_of(b, text_col), *shared.value)
+                rows = _sanitised(texts_of(b), *shared.value, min_term)
             else:
                 rows = []
-                for t, mine in zip(texts_of(b, text_col), b.column(b.schema.get_field_index("_terms")).to_pylist(), strict=True):
+                for t, mine in zip(texts_of(b), column(b, "terms").to_pylist(), strict=True):
                     by = {x["term"]: x["gone"] for x in mine or ()}
                     known = np.array(sorted(by), np.int64)
-                    rows += _sanitised([t], known, np.array([by[k] for k in known.tolist()], bool))
+                    rows += _sanitised([t], known, np.array([by[k] for k in known.tolist()], bool), min_term)
             texts, entities, terms = zip(*rows, strict=True)
-            made = {text_col: pa.array(texts, pa.string()), "n_entities": pa.array(entities, pa.int32()), "n_terms": pa.array(terms, pa.int32())}
-            yield pa.record_batch([made[n] if n in made else b.column(b.schema.get_field_index(n)) for n in fields], names=fields)
+            made = {TEXT: pa.array(texts, pa.string()), "n_entities": pa.array(entities, pa.int32()), "n_terms": pa.array(terms, pa.int32())}
+            yield pa.record_batch([made[c] if c in made else column(b, c) for _, c in fields], names=[n for n, _ in fields])
 
     return run
 
 
-def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        keys = b.column("key").to_numpy(zero_copy_only=False)
-        w, good = _terms(texts_of(b))
-        pairs = np.unique(np.stack([w.doc[good], _signed(w.hash[good])]), axis=1) if good.any() else np.zeros((2, 0), np.int64)
-        yield pa.record_batch({"key": pa.array(keys[pairs[0]], pa.int64()), "term": pa.array(pairs[1], pa.int64())})
+def _terms_of(min_term: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keys = column(b, "key").to_numpy(zero_copy_only=False)
+            w, good = _terms(texts_of(b), min_term)
+            pairs = np.unique(np.stack([w.doc[good], _signed(w.hash[good])]), axis=1) if good.any() else np.zeros((2, 0), np.int64)
+            yield pa.record_batch({"key": pa.array(keys[pairs[0]], pa.int64()), "term": pa.array(pairs[1], pa.int64())})
+
+    return run
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = BROADCAST_ROWS, min_term: int = MIN_TERM) -> DataFrame:
     """docs with text_col sanitised, n_entities and n_terms (how many were found in the row's text)."""
-    found = cut(disclosures(docs, text_col, window, contexts, generalise, remove, broadcast_rows))
-    kept = [c for c in docs.columns if c not in _MADE]
-    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields if f.name in kept] + [T.StructField(n, T.IntegerType()) for n in _MADE])
-    rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept])
+    found = cut(disclosures(docs, text_col, window, contexts, generalise, remove, broadcast_rows, min_term))
+    stay = others(docs, _MADE)
+    fields = [(c, TEXT if c.lower() == text_col.lower() else f"c{k}") for k, c in enumerate(stay)] + [(c, c) for c in _MADE]
+    schema = T.StructType([T.StructField(n, T.StringType()) if c == TEXT else T.StructField(n, T.IntegerType()) if n in _MADE else docs.schema[n] for n, c in fields])
+    rows = docs.select(quoted(text_col).cast("string").alias(TEXT), *[quoted(n).alias(c) for n, c in fields[: len(stay)] if c != TEXT])
     if fits(found, broadcast_rows):
         terms = found.orderBy("term").toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((terms.term.to_numpy(np.int64), terms.gone.to_numpy(bool)))
-        return rows.mapInArrow(_run(schema.names, text_col, shared), schema)
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    texts = rows.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    each = texts.mapInArrow(_terms_of, "key long, term long").distinct().join(found, "term").groupBy("key").agg(F.collect_list(F.struct("term", "gone")).alias("_terms"))
-    joined = rows.withColumn("_key", key).join(each, F.col("_key") == F.col("key"), "left").drop("_key", "key")
-    return joined.mapInArrow(_run(schema.names, text_col, None), schema)
+        return map_arrow(rows, _run(fields, shared, min_term), schema)
+    rows = rows.withColumn("key", F.xxhash64(TEXT))
+    each = map_arrow(rows.select("key", TEXT).where(F.col(TEXT).isNotNull()), _terms_of(min_term), "key long, term long")
+    each = each.distinct().join(found, "term").groupBy("key").agg(F.collect_list(F.struct("term", "gone")).alias("terms"))
+    return map_arrow(rows.join(each, "key", "left"), _run(fields, None, min_term), schema)

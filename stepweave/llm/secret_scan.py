@@ -14,8 +14,9 @@ Which copies to read is told to the tasks in the cheapest way there is: a list o
 read, broadcast if it is short, else a shuffled join.
 
 Defined cases: null text: no blob, no findings. Empty text: a blob like others. Null path or version: kept as null.
-Repeated rows, or equal texts under many paths: one blob, findings for each distinct path and version. No rows: no
-findings; an empty ledger is made. Other columns are ignored. The findings hold a hash of a secret, never the secret.
+Repeated rows, or equal texts under many paths: one blob, findings for each distinct path and version. Very long texts:
+whole. Ties: whichever copy of a blob is read, it is the same. No rows: no findings; an empty ledger is made. Ids play no
+part but as paths. Other columns are ignored. The findings hold a hash of a secret, never the secret.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import cut, fits, new_path
+from stepweave.llm.common import cut, fits, new_path, quoted
 
 
 @dataclass(frozen=True)
@@ -107,10 +108,11 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, p
     """
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("one version of each rule at a time")
-    text = F.col(f"`{text_col}`").cast("string")
-    base = versions.select(F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{version_col}`").cast("string").alias("version"), text.alias("text")).where("text is not null")
+    text = quoted(text_col).cast("string")
+    base = versions.select(quoted(path_col).cast("string").alias("path"), quoted(version_col).cast("string").alias("version"), text.alias("text")).where("text is not null")
     blob = F.sha2(F.col("text").cast("binary"), 256)
-    row = F.xxhash64(F.coalesce("path", F.lit("\0")), F.coalesce("version", F.lit("\0")), "blob")
+    parts = (F.coalesce("path", F.lit("\0")), F.coalesce("version", F.lit("\0")), "blob")
+    row = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))  # 128 bits
     every = cut(base.groupBy("path", "version", blob.alias("blob")).agg(F.count("*").alias("times")).withColumn("row", row))
     known = ledger.scanned().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
     keys = F.array(*[F.lit(r.key) for r in rules]) if rules else F.array().cast("array<string>")
