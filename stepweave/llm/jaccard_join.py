@@ -11,11 +11,17 @@ sizes. The pairs that pass are verified on whole n-gram sets.
 The order uses n-gram frequencies estimated over all texts; it decides how much work is done, never what is found.
 
 Groups need no quadratic number of pairs: a first round pairs the texts under an n-gram with the smallest doc_id only;
-a second one pairs all texts that the first one's pairs don't connect.
+a second one pairs all texts that the first one's pairs don't connect. Whose group a text is in so far is told to the tasks
+by a broadcast if it fits, else by a join with the texts; the pairs are the same.
 
-Defined cases: null text or null doc_id: takes no part. No words: equal to other texts of no words. Fewer than n words:
-one n-gram of all of them. Rows of the same doc_id count as one document, with the n-grams of the row whose set is first
-by order. Other columns are ignored.
+Links are counted inside groups, as nothing outside is similar: texts of equal n-gram sets are one class, each class's set
+is sent to where it meets those of its group, in blocks, and every two of them are compared. So copies bring no pairs, and
+no link between different texts is left out or written as a row.
+
+Defined cases: null text, null doc_id or one that is no integer: takes no part. No words: equal to other texts of no words.
+Fewer than n words: one n-gram of all of them. Very long texts: whole. Rows of the same doc_id count as one document, with
+the n-grams of the row whose set's hash is first. Ties: the smallest doc_id names a group or a class. Empty tables: no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stepweave.llm.common import cut, fits, semi, slices, texts_of
-from stepweave.llm.textnp import counted, distinct, ngrams, words
+from stepweave.llm.common import column, cut, fits, map_arrow, quoted, semi, slices, texts_of, whole_id
+from stepweave.llm.textnp import counted, distinct, mix, ngrams, words
 
 #: Verifying a pair costs as much as so many postings.
 VERIFY_COST = 20
@@ -38,14 +45,16 @@ LONGEST = 12
 #: N-grams whose own frequency counts in the order; the others are rarer and have an average one.
 FREQUENT = 500_000
 #: N-grams that are counted together; those that are there less than three times in all such pieces count as rare.
-PIECE = 8_000_000
+PIECE = 2_000_000
 POSTINGS_PER_BUCKET = 1_500_000
 #: Verified pairs whose groups one task finds; beyond it a distributed algorithm does.
-ONE_TASK_EDGES = 5_000_000
+ONE_TASK_EDGES = 1_000_000
 #: Texts that one task compares with the same one.
 PAIRS_A_TASK = 20_000
-#: Texts whose group so far is told to all tasks; beyond it the second round pairs without knowing.
-KNOWN_GROUPED = 4_000_000
+#: Texts whose group so far is broadcast to all tasks; beyond it a join tells it.
+KNOWN_GROUPED = 1_000_000
+#: Classes of a group that are compared in one task with as many others.
+BLOCK = 500
 _48 = np.uint64((1 << 48) - 1)
 
 
@@ -63,8 +72,11 @@ def _frequencies(n: int):
 
         def piece() -> pa.RecordBatch:
             nonlocal twice, pieces, held
-            grams, counts = counted(np.sort(np.concatenate([*kept, np.zeros(0, np.uint64)])))
+            every = np.concatenate([*kept, np.zeros(0, np.uint64)])
             kept.clear()
+            every.sort()
+            grams, counts = counted(every)
+            del every
             held, pieces = 0, pieces + 1
             often = counts >= 3
             twice += int((counts == 2).sum()) * 2
@@ -97,14 +109,17 @@ def _choose(sizes: np.ndarray, bounds: np.ndarray, others: np.ndarray, threshold
     return ell, np.minimum(sizes - need + ell, sizes)
 
 
-def _prefixes(n: int, threshold: float, frequent, buckets: int):
+def _prefixes(n: int, threshold: float, frequent, buckets: int, labelled: bool = False):
+    """Postings by bucket. labelled: rows have a label (their group so far, or null), which goes with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, freqs, rare = frequent.value  # n-grams in order, and how many other texts have each, or one that isn't there
         # equal frequencies have one rank; there are 65,535 at most, in steps that are even where frequencies are low
         levels = np.unique(freqs)
         rank = (np.searchsorted(levels, freqs) * min(1.0, 65534 / max(len(levels), 1))).astype(np.uint64) + np.uint64(1)
         for b in slices(batches):
-            ids = b.column("id").to_numpy(zero_copy_only=False)
+            ids = column(b, "id").to_numpy(zero_copy_only=False)
+            labels = pc.coalesce(column(b, "label"), column(b, "id")).to_numpy(zero_copy_only=False) if labelled else None
             keys, bounds = _sets(texts_of(b), n)
             gram, doc = keys & _48, keys >> np.uint64(48)
             freq, order = np.full(len(gram), rare), np.zeros(len(gram), dtype=np.uint64)
@@ -125,10 +140,10 @@ def _prefixes(n: int, threshold: float, frequent, buckets: int):
             bucket, token, doc, place = bucket[perm], token[perm], doc[perm], place[perm].astype(np.uint16)
             there, many = counted(bucket)
             firsts = np.cumsum(many) - many
-            out = {k: [] for k in ("token", "doc", "place", "ids", "sizes", "ells")}
+            out = {k: [] for k in ("token", "doc", "place", "ids", "sizes", "ells", "labels")}
             for i, j in zip(firsts, [*firsts[1:], len(bucket)], strict=True):
                 docs, many = counted(doc[i:j])
-                for k, v in (("token", token[i:j]), ("doc", np.repeat(np.arange(len(docs), dtype=np.uint16), many)), ("place", place[i:j]), ("ids", ids[docs].astype(np.int64)), ("sizes", sizes[docs].astype(np.int32)), ("ells", ell[docs].astype(np.uint8))):
+                for k, v in (("token", token[i:j]), ("doc", np.repeat(np.arange(len(docs), dtype=np.uint16), many)), ("place", place[i:j]), ("ids", ids[docs].astype(np.int64)), ("sizes", sizes[docs].astype(np.int32)), ("ells", ell[docs].astype(np.uint8)), ("labels", labels[docs].astype(np.int64) if labelled else ids[:0])):
                     out[k].append(v.tobytes())
             yield pa.record_batch({"bucket": pa.array(there.astype(np.int32))} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
@@ -150,7 +165,10 @@ def _pairs(left: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray
 
 
 def _candidates(threshold: float, star: bool, labels):
-    """Of each bucket: pairs with the n-grams that they share there. star: with the smallest doc_id only; else those of different labels."""
+    """Of each bucket: pairs with the n-grams that they share there. star: with the smallest doc_id only; else those of different labels.
+
+    labels: documents and their labels, or None where the postings have them.
+    """
 
     share = threshold / (1 + threshold)
 
@@ -197,8 +215,10 @@ def _candidates(threshold: float, star: bool, labels):
             add(pivot, other)
         else:
             label = ids.copy()
-            known, to = labels.value
-            if len(known):
+            if labels is None:
+                label = np.concatenate([np.frombuffer(r["labels"], np.int64) for r in rows])[order]
+            elif len(known := labels.value[0]):
+                to = labels.value[1]
                 at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 hit = known[at] == ids
                 label[hit] = to[at[hit]]
@@ -230,17 +250,33 @@ def _candidates(threshold: float, star: bool, labels):
     return run
 
 
-def _gram_sets(n: int):
+def _hashes(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits of each text's set (big-endian bytes), whatever its order; no set is empty."""
+    both = [np.add.reduceat(mix((keys & _48) ^ np.uint64(x)), bounds[:-1]) + np.diff(bounds).astype(np.uint64) for x in (0x5BD1E995 << 20, 0x1B873593 << 24)] if len(keys) else [np.zeros(0, np.uint64)] * 2
+    return np.stack(both, axis=1).astype(">u8").view(np.uint8).reshape(-1, 16)
+
+
+def _gram_sets(n: int, keep: list[str], grams: bool = True):
+    """The columns keep, and grams: each text's set as its hash, then six bytes for each n-gram in order, if grams are asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             keys, bounds = _sets(texts_of(b), n)
-            grams = keys & _48
-            grams = pa.array([grams[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in ("a", "salt", "id")), grams], names=["a", "salt", "id", "grams"])
+            hashes = _hashes(keys, bounds)
+            six = (keys & _48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] if grams else None
+            sets = [h.tobytes() + (six[i:j].tobytes() if grams else b"") for h, i, j in zip(hashes, bounds[:-1], bounds[1:], strict=True)]
+            yield pa.record_batch([*(column(b, c) for c in keep), pa.array(sets, pa.binary())], names=[*keep, "grams"])
 
     return run
 
 
+def _set_of(x: pa.Scalar) -> np.ndarray:
+    six = np.frombuffer(x.as_buffer(), np.uint8)[16:].reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by a and salt, the set of a itself first; repeated rows of a document count as the first."""
     key, own, last = None, np.zeros(0, np.uint64), None
@@ -250,7 +286,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, salt, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids.to_pylist(), sets, strict=True):
             if (a, salt, i) == last:
                 continue
-            last, x = (a, salt, i), np.frombuffer(x.as_buffer(), np.uint64)
+            last, x = (a, salt, i), _set_of(x)
             if (a, salt) != key:
                 key, own = (a, salt), x
                 continue
@@ -268,8 +304,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     own = compared.select("a", "salt").distinct().withColumn("id", F.col("a"))
     asked = cut(compared.union(own))
     texts = docs.join(F.broadcast(asked) if fits(asked) else asked, "id").select("a", "salt", "id", "text")
-    sets = texts.mapInArrow(_gram_sets(n), "a long, salt int, id long, grams binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "id", "grams")
-    return cut(sets.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
+    sets = map_arrow(texts, _gram_sets(n, ["a", "salt", "id"]), "a long, salt int, id long, grams binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "id", "grams")
+    return cut(map_arrow(sets, _jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +327,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """doc_id, group_id (the smallest doc_id that it is connected with) of the documents in edges (a, b)."""
     if fits(edges, one_task):
-        return edges.select("a", "b").coalesce(1).mapInArrow(_union, "doc_id long, group_id long")
+        return map_arrow(edges.select("a", "b").coalesce(1), _union, "doc_id long, group_id long")
     links = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(links.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("group_id")))
     while True:
@@ -304,16 +340,16 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    return docs.select(whole_id(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).where("id is not null and text is not null")
 
 
-def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", all_pairs: bool = False) -> DataFrame:
+def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", all_pairs: bool = False, known_grouped: int = KNOWN_GROUPED) -> DataFrame:
     """a, b (a < b), jaccard: similar pairs. Unless all_pairs, only as many as connect each group of similar texts."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be above 0 and at most 1, n at least 1")
     spark = docs.sparkSession
     docs = _inputs(docs, id_col, text_col)
-    counts = docs.select("text").mapInArrow(_frequencies(n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    counts = map_arrow(docs.select("text"), _frequencies(n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     counts = cut(counts)
     # the least frequency that counts, so that no task or driver has to sort n-grams; rows of one number each
     by_docs = counts.where("gram >= 0").groupBy("docs").agg(F.count("*").alias("n")).orderBy(F.desc("docs")).withColumn("upto", F.sum("n").over(W.orderBy(F.desc("docs"))))
@@ -324,32 +360,113 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     rare = twice / max(total, 1) * pieces + 1e-6  # the chance to meet in one piece of the texts, over all pieces
     buckets = max(1, math.ceil(total * min(1.0, 1 - threshold + 0.02) / POSTINGS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64) - 1, rare))
-    schema = "bucket int, token binary, doc binary, place binary, ids binary, sizes binary, ells binary"
-    postings = cut(docs.mapInArrow(_prefixes(n, threshold, frequent, buckets), schema).repartitionById(buckets, "bucket"))
+    schema = "bucket int, token binary, doc binary, place binary, ids binary, sizes binary, ells binary, labels binary"
+    postings = cut(map_arrow(docs, _prefixes(n, threshold, frequent, buckets), schema).repartitionById(buckets, "bucket"))
     pair_schema = "a long, b long, hits long, need int"
-    none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
     if all_pairs:
-        return _verified(docs, postings.mapInArrow(_candidates(threshold, False, none), pair_schema), n, threshold)
-    stars = _verified(docs, postings.mapInArrow(_candidates(threshold, True, None), pair_schema), n, threshold)
+        none = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        return _verified(docs, map_arrow(postings, _candidates(threshold, False, none), pair_schema), n, threshold)
+    stars = _verified(docs, map_arrow(postings, _candidates(threshold, True, None), pair_schema), n, threshold)
     labels = cut(components(stars))
-    if fits(labels, KNOWN_GROUPED):
+    if fits(labels, known_grouped):
         known = labels.toArrow().to_pandas().sort_values("doc_id")
         labelled = spark.sparkContext.broadcast((known.doc_id.to_numpy(np.int64), known.group_id.to_numpy(np.int64)))
     else:
-        labelled = none
-    rest = _verified(docs, postings.mapInArrow(_candidates(threshold, False, labelled), pair_schema), n, threshold)
+        texts = docs.join(labels.select(F.col("doc_id").alias("id"), F.col("group_id").alias("label")), "id", "left").select("id", "label", "text")
+        postings = cut(map_arrow(texts, _prefixes(n, threshold, frequent, buckets, True), schema).repartitionById(buckets, "bucket"))
+        labelled = None
+    rest = _verified(docs, map_arrow(postings, _candidates(threshold, False, labelled), pair_schema), n, threshold)
     return stars.union(rest)
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, group_id (the smallest doc_id in the group), group_size: of each document that is similar to another, directly or over others."""
-    groups = components(jaccard_edges(docs, n, threshold, id_col, text_col))
+def _links(threshold: float):
+    """Rows come by group, x and y (blocks), with the block of each set: how many of the others of x and y each is similar to."""
+
+    def links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in sets])
+        doc, grams = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        grams, doc = grams[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        many = np.diff(np.append(first, len(grams)))
+        begin, count = np.repeat(first, many), np.repeat(many, many)
+        by_doc = np.argsort(doc, kind="stable")
+        ends = np.cumsum(sizes)
+        out = np.zeros(len(sets), np.int64)
+        for k in range(len(sets)):
+            if blocks[k] != x:
+                continue  # its pairs are those of the others
+            mine = by_doc[ends[k] - sizes[k] : ends[k]]
+            b, c = begin[mine], count[mine]
+            at = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(b, c)
+            both = np.bincount(doc[at], minlength=len(sets))
+            similar = (both / (sizes + sizes[k] - both) >= threshold - 1e-12) & (blocks == y)
+            similar[k] = False
+            out[k] += similar.sum()
+            if x != y:
+                out += similar
+        return ids[out > 0], out[out > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                found = links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], key[1], key[2])
+                yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["class_id", "n_links"])
+
+        for b in batches:
+            for g, x, y, i, block, s in zip(*(column(b, c).to_pylist() for c in ("group_id", "x", "y", "id", "block")), column(b, "grams"), strict=True):
+                if (g, x, y) != key:
+                    yield from done()
+                    key, rows = (g, x, y), []
+                rows.append((i, block, _set_of(s)))
+        yield from done()
+
+    return run
+
+
+def count_links(docs: DataFrame, groups: DataFrame, n: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """doc_id, group_id, class_id (the smallest doc_id of its n-gram set), n_links (other classes that its class is similar to).
+
+    docs: id, text; groups: doc_id, group_id, of all documents that are similar to another.
+    """
+    told = groups.select(F.col("doc_id").alias("id"), "group_id")
+    texts = docs.join(F.broadcast(told) if fits(told) else told, "id").select("group_id", "id", "text")
+    hashes = map_arrow(texts, _gram_sets(n, ["group_id", "id"], grams=False), "group_id long, id long, grams binary")
+    hashes = cut(hashes.groupBy("group_id", "id").agg(F.min("grams").alias("h")))
+    classes = cut(hashes.groupBy("group_id", "h").agg(F.min("id").alias("class_id")))
+    # two classes of one group are similar to each other; more are compared, each in blocks of its group's classes
+    many = classes.groupBy("group_id").agg(F.count("*").alias("classes"))
+    blocks = classes.join(many.where("classes > 2"), "group_id").withColumn("blocks", F.ceil(F.col("classes") / block).cast("int"))
+    blocks = cut(blocks.select(F.col("class_id").alias("id"), "group_id", "h", "blocks"))
+    sets = map_arrow(docs.join(F.broadcast(blocks) if fits(blocks) else blocks, "id").select("group_id", "id", "h", "blocks", "text"), _gram_sets(n, ["group_id", "id", "h", "blocks"]), "group_id long, id long, h binary, blocks int, grams binary")
+    sets = sets.where(F.substring("grams", 1, 16) == F.col("h")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "grams")
+    sent = sent.repartition("group_id", "x", "y").sortWithinPartitions("group_id", "x", "y", "id")
+    links = map_arrow(sent, _links(threshold), "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
+    links = links.union(classes.join(many.where("classes = 2"), "group_id").select("class_id", F.lit(1).cast("long")))
+    told = classes.join(links, "class_id", "left").select("group_id", "h", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return hashes.join(told, ["group_id", "h"]).select(F.col("id").alias("doc_id"), "group_id", "class_id", "n_links")
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, known_grouped: int = KNOWN_GROUPED) -> DataFrame:
+    return cut(components(jaccard_edges(docs, n, threshold, id_col, text_col, known_grouped=known_grouped)))
+
+
+def near_duplicate_groups(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", known_grouped: int = KNOWN_GROUPED, block: int = BLOCK) -> DataFrame:
+    """doc_id, group_id, group_size, class_id, n_links: of each document that is similar to another, directly or over others.
+
+    group_id: the smallest doc_id in the group. class_id: the smallest doc_id with the same n-grams. n_links: how many other
+    classes are similar to it.
+    """
+    groups = _groups(docs, n, threshold, id_col, text_col, known_grouped)
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return groups.join(sizes, "group_id").select("doc_id", "group_id", "group_size")
+    each = count_links(_inputs(docs, id_col, text_col), groups, n, threshold, block)
+    return each.join(sizes, "group_id").select("doc_id", "group_id", "group_size", "class_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents of a group but that with the smallest doc_id. Rows of null doc_id or text stay."""
-    groups = near_duplicate_groups(docs, n, threshold, id_col, text_col)
-    gone = cut(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)))
+    """docs without the documents of a group but that with the smallest doc_id, all rows of it. Rows of null doc_id or text stay."""
+    gone = _groups(docs, n, threshold, id_col, text_col).where("doc_id <> group_id").select("doc_id")
     return semi(docs, gone, id_col, "left_anti")

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents with a Jaccard similarity of word pairs of 0.6 and more."""
+    """Documents similar to another by word pairs (a Jaccard similarity of 0.6 and more): their group, class and number of links."""
     return jaccard_join.near_duplicate_groups(table(ship(spark), sf_dir, "documents"), n=2, threshold=0.6)
 
 
@@ -34,6 +34,8 @@ WITH RECURSIVE w AS (
   SELECT * FROM p WHERE k <= n - ceil(0.6 * n - 1e-9) + 1
 ), c AS (
   SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM pre x JOIN pre y ON x.gram = y.gram AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.6 * greatest(x.n, y.n) - 1e-9
+), k AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(gs)) AS class_id FROM g
 ), e AS (
   SELECT a, b FROM c JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b
   WHERE len(list_intersect(ga.gs, gb.gs)) >= 0.6 * (len(ga.gs) + len(gb.gs) - len(list_intersect(ga.gs, gb.gs))) - 1e-9
@@ -43,8 +45,10 @@ WITH RECURSIVE w AS (
   SELECT a AS doc_id, a AS root FROM links UNION SELECT l.b, r.root FROM r JOIN links l ON l.a = r.doc_id
 ), m AS (
   SELECT doc_id, min(root) AS group_id FROM r GROUP BY doc_id
+), n AS (
+  SELECT a AS doc_id, count(DISTINCT y.class_id) AS n_links FROM links JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE x.class_id <> y.class_id GROUP BY a
 )
-SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, class_id, coalesce(n_links, 0) AS n_links FROM m JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
@@ -111,10 +115,8 @@ WITH p AS (
 ), l AS (
   SELECT doc_id, leaf, count(*) OVER (PARTITION BY doc_id) AS n FROM (
     SELECT DISTINCT doc_id, sha256('p' || par) AS leaf FROM (SELECT doc_id, unnest(flatten(sections)) AS par FROM p) WHERE length(par) >= 20)
-), lf AS (
-  SELECT leaf, min(doc_id) AS first FROM l GROUP BY leaf
 ), c AS (
-  SELECT l.doc_id, n, first, count(*) AS shared FROM l JOIN lf USING (leaf) WHERE first < l.doc_id GROUP BY ALL
+  SELECT l.doc_id, l.n, y.doc_id AS first, count(*) AS shared FROM l JOIN l y USING (leaf) WHERE y.doc_id < l.doc_id GROUP BY ALL
 ), b AS (
   SELECT doc_id, first AS base_id FROM c WHERE shared >= 0.5 * n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, first) = 1
 ), e AS (
@@ -171,6 +173,48 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Phrases of 13 words (or an item's all); else the most of an item's eight rarest words within one and a half times its length.
+OP9_SQL = rf"""
+WITH i AS (
+  SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), sizes AS (
+  SELECT DISTINCT least(len(ws), {decontaminate.PHRASE_WORDS}) AS k FROM i WHERE len(ws) > 0
+), ig AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS gram FROM (SELECT *, least(len(ws), {decontaminate.PHRASE_WORDS}) AS k FROM i WHERE len(ws) > 0)
+), dg AS (
+  SELECT doc_id, k, unnest(range(0, len(ws) - k + 1)) AS place, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS gram FROM d, sizes WHERE len(ws) >= k
+), phrases AS (
+  SELECT item_id, doc_id, 'phrase' AS kind, min(place) AS place, max(k) AS n FROM ig JOIN dg USING (k, gram) GROUP BY item_id, doc_id
+), dw AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM d
+), totals AS (
+  SELECT word, count(*) AS total FROM dw GROUP BY word
+), iw AS (
+  SELECT item_id, text, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM i WHERE len(ws) >= {decontaminate.MIN_WORDS}
+), firsts AS (
+  SELECT item_id, text, n, word, min(pos) AS pos, coalesce(any_value(total), 0) AS total FROM iw LEFT JOIN totals USING (word) GROUP BY ALL
+), rare AS (
+  SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY total, pos) <= {decontaminate.RAREST}
+), asked AS (
+  SELECT item_id, text, ceil({decontaminate.SPREAD} * n) AS span, greatest(3, ceil({decontaminate.SHARE} * count(*))) AS need FROM rare GROUP BY item_id, text, n
+), places AS (
+  SELECT DISTINCT r.item_id, r.text, doc_id, place, word FROM rare r JOIN dw USING (word)
+), enough AS (
+  SELECT item_id, text, doc_id, any_value(need) AS need, any_value(span) AS span FROM places JOIN asked USING (item_id, text) GROUP BY item_id, text, doc_id HAVING count(DISTINCT word) >= any_value(need)
+), near AS (
+  SELECT a.item_id, a.text, a.doc_id, a.place, count(DISTINCT b.word) AS n
+  FROM places a JOIN enough e USING (item_id, text, doc_id) JOIN places b ON b.item_id = a.item_id AND b.text = a.text AND b.doc_id = a.doc_id AND b.place >= a.place AND b.place < a.place + e.span
+  GROUP BY ALL HAVING count(DISTINCT b.word) >= any_value(e.need)
+), every AS (
+  SELECT item_id, doc_id, kind, place, n FROM phrases UNION ALL SELECT item_id, doc_id, 'proximity', place, n FROM near
+)
+SELECT item_id, doc_id, kind, CAST(place AS INTEGER) AS place, CAST(n AS INTEGER) AS n_words FROM every
+QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY kind, n DESC, place) = 1
+"""
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without personal values and without the terms that disclose them."""
     return pii.sanitise(table(ship(spark), sf_dir, "documents").select("doc_id", "text"))
@@ -182,4 +226,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_fingerprints": OP6_SQL, "op8_license_scan": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_fingerprints": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_decontamination": OP9_SQL}

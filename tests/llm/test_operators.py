@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def documents(spark, texts, langs=None, sources=None, ids=None):
 ODD = [None, "", " \n\n ", "a", "The quick brown fox jumps over the lazy dog. " * 3, "word " * 20_000, "ünï © 日本語 🙂", "x" * 50_000]
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_secret_scan", "op3_line_dedup", "op6_fingerprints", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_secret_scan", "op3_line_dedup", "op6_fingerprints", "op8_license_scan", "op9_decontamination"])
 def test_same_as_sql(name, same_rows):
     same_rows(Q.queries()[name], Q.oracle_sql()[name], some=not name.startswith("op2"))  # the smallest tables have no secrets
 
@@ -65,8 +67,20 @@ def test_all_similar_pairs_are_found(spark, n, threshold, seed):
     for a, b in want:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    groups = {r.doc_id: r.group_id for r in jaccard_join.near_duplicate_groups(docs, n, threshold).collect()}
-    assert groups == {i: root(i) for i in {x for p in want for x in p}}
+    sets = [None if t is None else frozenset(ngrams(words([t]), n)[0].tolist()) for t in texts]
+    of = lambda i: min(j for j, s in enumerate(sets) if s == sets[i])
+    links = {i: len({of(a + b - i) for a, b in want if i in (a, b)} - {of(i)}) for i in {x for p in want for x in p}}
+    for known, block in ((10**6, 500), (1, 3), (0, 1)):
+        rows = jaccard_join.near_duplicate_groups(docs, n, threshold, known_grouped=known, block=block).collect()
+        assert {r.doc_id: (r.group_id, r.class_id, r.n_links) for r in rows} == {i: (root(i), of(i), k) for i, k in links.items()} and len(rows) == len(links)
+
+
+def test_equal_texts_bring_no_pairs(spark):
+    docs = documents(spark, ["the same few words in all of these"] * 300 + ["the same few words in all of those"] * 5)
+    for known in (10**6, 0):
+        assert jaccard_join.jaccard_edges(docs, 2, 0.6, known_grouped=known).count() == 304
+    rows = jaccard_join.near_duplicate_groups(docs, 2, 0.6, known_grouped=0).collect()
+    assert {(r.group_id, r.group_size, r.class_id, r.n_links) for r in rows} == {(0, 305, 0, 1), (0, 305, 300, 1)}
 
 
 def test_components_the_other_way(spark):
@@ -121,8 +135,15 @@ def test_bpe_is_that_of_its_definition_and_round_trips(spark):
     for t in texts:
         ids = mine.encode(t)
         assert ids == theirs.encode_ordinary(t) and back.decode(ids) == t
-    for piece in (b"understanding", b"\xff\xfe", b"aaaaab"):
-        assert mine.transducer.encode(piece) == bpe.merge(piece, ranks)
+    ids, upto = mine.batch(pa.array([None, *texts, ""]).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:], strict=True)] == [theirs.encode_ordinary(t) for t in [*texts, ""]]
+    assert "".join(back.stream(iter(ids.tolist()), 7)) == "".join(texts)
+    for t in texts:
+        cuts = sorted(rng.randint(0, len(t)) for _ in range(3))
+        assert sum(mine.stream(t[a:b] for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True)), []) == theirs.encode_ordinary(t)
+    for piece in (b"understanding", b"\xff\xfe", b"aaaaab", *(bytes(rng.choice(b"abcderst\xc3\xa9  ing") for _ in range(40)) for _ in range(300))):
+        want = bpe.merge(piece, ranks)
+        assert mine.transducer.encode(piece) == want and list(mine.transducer.stream(piece[i : i + 3] for i in range(0, len(piece), 3))) == want
     with pytest.raises(KeyError):
         back.decode([10**9])
 
@@ -135,7 +156,7 @@ def test_utf8_by_bits():
 
 
 def test_bpe_documents(spark):
-    docs = documents(spark, ODD).withColumn("n_tokens", F.lit("clash"))
+    docs = documents(spark, ODD).withColumn("N_TOKENS", F.lit("clash"))
     out = bpe.encode_documents(docs, check=True)
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[0].token_ids is None and rows[0].n_tokens == 0 and rows[1].token_ids == [] and all(r.round_trip for i, r in rows.items() if i)
@@ -205,6 +226,26 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("paired", "share"), [(64, 0.5), (2, 0.5), (1, 0.3), (3, 1.0)])
+def test_bases_against_brute_force(spark, paired, share):
+    rng = random.Random(11)
+    p = [f"paragraph number {k} of some length" for k in range(40)]
+    hot = [f"this one is in nearly all of them {k}" for k in range(6)]
+    texts = [None, "", "short\nones", *("\n".join(rng.sample(hot, rng.randint(0, 6)) + rng.sample(p, rng.choice([0, 1, 2, 5])) + [f"of its own {k}" + "x" * 20] * (k % 3 == 0)) for k in range(150))]
+    docs = documents(spark, texts)
+    sets = {k: {x for x in (t or "").split("\n") if len(x) >= 20} for k, t in enumerate(texts)}
+    roots = {k: (t if t is None else tuple(x for x in t.split("\n") if x)) for k, t in enumerate(texts)}
+    want = {}
+    for k, mine in sets.items():
+        if roots[k] is not None and not any(roots[j] == roots[k] for j in range(k)):
+            best = max(((len(mine & sets[j]), -j) for j in range(k)), default=(0, 0))
+            if best[0] and best[0] >= share * len(mine) - 1e-9:
+                want[k] = -best[1]
+    rows = fingerprints.fingerprints(docs, min_share=share, paired=paired).collect()
+    assert {r.doc_id: r.base_id for r in rows if r.base_id is not None} == want and want
+    assert len(rows) == len(texts)
+
+
 # -- 7 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -336,7 +377,7 @@ def test_benchmark_phrases_against_brute_force(spark):
     docs = documents(spark, texts)
     got = {(r.item_id, r.doc_id): r.kind for r in decontaminate.benchmark_matches(docs, bench).collect()}
     assert {p for p, kind in got.items() if kind == "phrase"} == want
-    slices = {(r.item_id, r.doc_id): r.kind for r in decontaminate.benchmark_matches(docs, bench, item_chars=1500).collect()}
+    slices = {(r.item_id, r.doc_id): r.kind for r in decontaminate.benchmark_matches(docs, bench, item_chars=1500, search_chars=400).collect()}
     assert slices == got
     kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert kept == set(range(len(texts))) - {d for _, d in got}
@@ -394,6 +435,44 @@ def test_disclosing_terms_against_brute_force(spark, broadcast_rows):
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "contexts", "broadcast_rows"), [(1, 1, 10**6), (2, 2, 10**6), (3, 2, 0)])
+def test_what_is_left_against_brute_force(spark, seed, contexts, broadcast_rows):
+    rng = random.Random(seed)
+    vocabulary, mails = [f"word{chr(97 + k)}" for k in range(20)], [f"user{chr(97 + k)}@mail.org" for k in range(4)]
+    texts = []
+    for _ in range(60):
+        t = rng.choices(vocabulary, k=rng.randint(0, 25)) + ["usera"] * (rng.random() < 0.2)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            t.insert(rng.randint(0, len(t)), rng.choice(mails))
+        texts.append(" ".join(t))
+    texts += texts[:5] + [None, ""]
+    n, both, seen = Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        tokens = [(x, m) for m in (t or "").split() for x in (m.replace("@", " ").replace(".", " ").split())]
+        inside = [m in mails for _, m in tokens]
+        for k, (x, _) in enumerate(tokens):
+            if not inside[k] and len(x) >= 3:
+                n[x] += 1
+                # words of entities count as places: three for each of these
+                for e in {m for i, (_, m) in enumerate(tokens) if inside[i] and abs(i - k) <= 8}:
+                    both[x, e] += 1
+                    seen[x, e].add(tuple(tokens[j][0] if 0 <= j < len(tokens) and not inside[j] else None for j in (k - 1, k + 1)))
+    left = {}
+    for (x, e), b in both.items():
+        if len(seen[x, e]) >= contexts:
+            left[x] = min(left.get(x, 99), np.log2(n[x] / b))
+    want = sorted(round(v, 9) for v in left.values() if v < 2.5)
+    docs = documents(spark, texts)
+    got = pii.disclosures(docs, contexts=contexts, generalise=2.5, broadcast_rows=broadcast_rows).collect()
+    assert sorted(round(r.left, 9) for r in got) == want and want and all(r.gone == (r.left < pii.REMOVE) for r in got)
+
+
+def test_places_inside_entities_do_not_count(spark):
+    docs = documents(spark, ["Annabel wrote from annabel@x.org", "so Annabel has annabel@x.org", "it is Annabel at annabel@x.org now", "mail annabel@x.org mail"])
+    rows = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("nnabel" not in t for t in rows.values())
+
+
 # -- everything over odd tables -----------------------------------------------------------------------------------------
 
 
