@@ -109,6 +109,34 @@ def _choose(sizes: np.ndarray, bounds: np.ndarray, others: np.ndarray, threshold
     return ell, np.minimum(sizes - need + ell, sizes)
 
 
+#: What a row of postings holds, and how wide each number is.
+_PARTS = (("token", np.uint32), ("doc", np.uint16), ("place", np.uint16), ("ids", np.int64), ("sizes", np.int32), ("ells", np.uint8), ("labels", np.int64))
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays of _PARTS compressed; first bytes of all numbers stand together, then second bytes, and so on; ids as differences."""
+    parts = []
+    for name, kind in _PARTS:
+        x = arrays[name].astype(kind)
+        if name in ("ids", "labels"):
+            x = np.diff(x, prepend=0)
+        parts.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    return pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def _unpacked(row: dict) -> dict[str, np.ndarray]:
+    """Of a row with data, and the numbers of tokens, documents and labels."""
+    many = {"token": row["tokens"], "doc": row["tokens"], "place": row["tokens"], "labels": row["labelled"]}
+    sizes = [(name, kind, many.get(name, row["docs"])) for name, kind in _PARTS]
+    raw = np.frombuffer(pa.decompress(row["data"], sum(n * np.dtype(k).itemsize for _, k, n in sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = {}, 0
+    for name, kind, n in sizes:
+        width = np.dtype(kind).itemsize
+        x = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel()
+        out[name], at = np.cumsum(x) if name in ("ids", "labels") else x, at + n * width
+    return out
+
+
 def _prefixes(n: int, threshold: float, frequent, buckets: int, labelled: bool = False):
     """Postings by bucket. labelled: rows have a label (their group so far, or null), which goes with them."""
 
@@ -140,12 +168,14 @@ def _prefixes(n: int, threshold: float, frequent, buckets: int, labelled: bool =
             bucket, token, doc, place = bucket[perm], token[perm], doc[perm], place[perm].astype(np.uint16)
             there, many = counted(bucket)
             firsts = np.cumsum(many) - many
-            out = {k: [] for k in ("token", "doc", "place", "ids", "sizes", "ells", "labels")}
+            rows = []
             for i, j in zip(firsts, [*firsts[1:], len(bucket)], strict=True):
                 docs, many = counted(doc[i:j])
-                for k, v in (("token", token[i:j]), ("doc", np.repeat(np.arange(len(docs), dtype=np.uint16), many)), ("place", place[i:j]), ("ids", ids[docs].astype(np.int64)), ("sizes", sizes[docs].astype(np.int32)), ("ells", ell[docs].astype(np.uint8)), ("labels", labels[docs].astype(np.int64) if labelled else ids[:0])):
-                    out[k].append(v.tobytes())
-            yield pa.record_batch({"bucket": pa.array(there.astype(np.int32))} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+                own = labels[docs] if labelled else ids[:0]
+                data = {"token": token[i:j], "doc": np.repeat(np.arange(len(docs)), many), "place": place[i:j], "ids": ids[docs], "sizes": sizes[docs], "ells": ell[docs], "labels": own}
+                rows.append((j - i, len(docs), len(own), _packed(data)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.record_batch([pa.array(there.astype(np.int32)), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["bucket", "tokens", "docs", "labelled", "data"])
 
     return run
 
@@ -173,13 +203,12 @@ def _candidates(threshold: float, star: bool, labels):
     share = threshold / (1 + threshold)
 
     def bucket(rows: list[dict]) -> pa.RecordBatch | None:
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
-        ells = np.concatenate([np.frombuffer(r["ells"], np.uint8) for r in rows])
-        firsts = np.cumsum([0] + [len(r["ids"]) // 8 for r in rows[:-1]])
-        doc = np.concatenate([np.frombuffer(r["doc"], np.uint16).astype(np.int64) + f for r, f in zip(rows, firsts, strict=True)])
-        token = np.concatenate([np.frombuffer(r["token"], np.uint32) for r in rows])
-        place = np.concatenate([np.frombuffer(r["place"], np.uint16) for r in rows]).astype(np.int64)
+        parts = [_unpacked(r) for r in rows]
+        firsts = np.cumsum([0] + [len(x["ids"]) for x in parts[:-1]])
+        doc = np.concatenate([x["doc"].astype(np.int64) + f for x, f in zip(parts, firsts, strict=True)])
+        ids, sizes, ells, token, place, told = (np.concatenate([x[k] for x in parts]) for k in ("ids", "sizes", "ells", "token", "place", "labels"))
+        del parts
+        place = place.astype(np.int64)
         order = np.lexsort((sizes, ids)) if star else np.lexsort((ids, sizes))
         rank = np.empty(len(ids), dtype=np.uint64)
         rank[order] = np.arange(len(ids), dtype=np.uint64)
@@ -216,7 +245,7 @@ def _candidates(threshold: float, star: bool, labels):
         else:
             label = ids.copy()
             if labels is None:
-                label = np.concatenate([np.frombuffer(r["labels"], np.int64) for r in rows])[order]
+                label = told[order]
             elif len(known := labels.value[0]):
                 to = labels.value[1]
                 at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
@@ -360,7 +389,7 @@ def jaccard_edges(docs: DataFrame, n: int = 2, threshold: float = 0.6, id_col: s
     rare = twice / max(total, 1) * pieces + 1e-6  # the chance to meet in one piece of the texts, over all pieces
     buckets = max(1, math.ceil(total * min(1.0, 1 - threshold + 0.02) / POSTINGS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast((top.gram.to_numpy(np.uint64), top.docs.to_numpy(np.float64) - 1, rare))
-    schema = "bucket int, token binary, doc binary, place binary, ids binary, sizes binary, ells binary, labels binary"
+    schema = "bucket int, tokens int, docs int, labelled int, data binary"
     postings = cut(map_arrow(docs, _prefixes(n, threshold, frequent, buckets), schema).repartitionById(buckets, "bucket"))
     pair_schema = "a long, b long, hits long, need int"
     if all_pairs:
