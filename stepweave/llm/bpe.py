@@ -35,9 +35,10 @@ from stepweave.llm.common import TEXT, carried, column, kept, map_arrow, others,
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and steps of the transducer that a worker keeps; they are made again when asked for again.
-KEPT_PIECES = 60_000
-KEPT_STEPS = 150_000
+#: Steps of the transducer that a worker keeps; they are made again when asked for again.
+KEPT_STEPS = 200_000
+#: Pieces of more bytes go through the transducer alone, the others side by side.
+SIDE_BY_SIDE = 64
 #: Below a node of the trie with so many tokens, what may precede them is told apart only as far as it matters.
 FEW_BELOW = 8
 _CLASSES: dict[tuple[str, int], str] = {}
@@ -89,6 +90,43 @@ def merge(piece: bytes, ranks: dict[bytes, int], most: int = 1) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class _Steps:
+    """The transducer's steps by state << 8 | byte, as a hash table with open addresses that many look-ups go through at once."""
+
+    def __init__(self, bits: int = 19):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's value, or -1."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def add(self, keys: list[int], values: list[int]) -> None:
+        """New keys, each once."""
+        if 2 * (self.count + len(keys)) > 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = [*self.keys[old].tolist(), *keys], [*self.values[old].tolist(), *values]
+            self.__init__(max(self.bits + 1, (2 * len(keys)).bit_length()))
+        for key, value, at in zip(keys, values, self._slots(np.array(keys, np.int64)).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.values[at] = key, value
+        self.count += len(keys)
+
+
 class Transducer:
     """States are numbers; next[state << 8 | byte] is the next state << 20 | the token that ends there.
 
@@ -103,6 +141,9 @@ class Transducer:
             raise ValueError("ranks must be below 2**20")
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for t, i in ranks.items():
+            self.lengths[i] = len(t)
         #: The tokens' trie: child[node << 8 | byte] is (node, the token's rank or -1, whether a longer token begins so).
         node_of, more = {b"": 0}, {t[:k] for t in ranks for k in range(1, len(t))}
         for x in sorted(more | ranks.keys(), key=len):
@@ -126,6 +167,7 @@ class Transducer:
         self.states: list[tuple[tuple[int, int | None], ...]] = []
         self.known: dict[tuple, int] = {}
         self.next: dict[int, int] = {}
+        self.steps = _Steps()
         self.alike: dict[tuple[int, int | None], int | None] = {}  # (node, token before it): a token that counts as the same, -1 if nothing can follow
         self.first_alike: dict[tuple, int | None] = {}
         self._state(((0, None),))
@@ -210,16 +252,58 @@ class Transducer:
             out.append(step & 0xFFFFF)
         return state, out
 
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.next) > KEPT_STEPS:
+    def _fresh(self) -> None:
+        if len(self.next) + self.steps.count > KEPT_STEPS:
             self.reset()
+
+    def encode(self, piece: bytes) -> list[int]:
+        self._fresh()
         return self._back(self._walk(0, piece)[1], len(piece))
 
+    def encode_many(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of many pieces (in the bytes raw) one after the other, and how many each has: all take a step at a time."""
+        self._fresh()
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        widest = int(size[0]) if len(size) else 0
+        left = np.searchsorted(-size, -np.arange(widest), side="left")  # how many have a byte at each place
+        state, ends = np.zeros(len(size), np.int64), np.zeros((widest, len(size)), np.int32)
+        for i, n in enumerate(left.tolist()):
+            keys = state[:n] << 8 | raw[begin[:n] + i]
+            step = self.steps.find(keys)
+            lost = step < 0
+            if lost.any():
+                new = np.unique(keys[lost]).tolist()
+                self.steps.add(new, [self._make(k >> 8, k & 255) for k in new])
+                step[lost] = self.steps.find(keys[lost])
+            state[:n] = step >> 20
+            ends[i, :n] = step & 0xFFFFF
+        # backwards from each piece's last token
+        rows, at, found = np.arange(len(size)), size.astype(np.int64), []
+        while len(rows):
+            token = ends[at - 1, rows]
+            found.append((rows, token))
+            at = at - self.lengths[token]
+            rows, at = rows[at > 0], at[at > 0]
+        many = np.zeros(len(size), np.int64)
+        for rows, _ in found:
+            many[rows] += 1
+        place = np.empty(len(size), np.int64)
+        place[order] = np.arange(len(size))
+        counts = many[place]
+        upto = np.cumsum(counts)
+        out = np.empty(int(upto[-1]) if len(upto) else 0, np.int32)
+        ending = upto[order]
+        for k, (rows, token) in enumerate(found):
+            out[ending[rows] - 1 - k] = token
+        return out, counts
+
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """The tokens of one piece that comes part by part, each as soon as it is certain whatever follows.
 
         That is where the encodings of all prefixes from which a token may still be under way agree.
         """
+        self._fresh()
         state, ends = 0, []  # ends: since what has been emitted
         for part in parts:
             state, more = self._walk(state, part)
@@ -291,18 +375,11 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks, self.transducer = ranks, Transducer(ranks)
         self.source, self.patterns = pattern, {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}  # those that came lately
-
-    def piece(self, raw: bytes) -> tuple[int, ...]:
-        ids = self.pieces.get(raw)
-        if ids is None:
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.transducer.encode(raw))
-            if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            if len(raw) < 100:
-                self.pieces[raw] = ids
-        return ids
+        self.tokens, self.ids = pa.array(list(ranks), pa.large_binary()), np.array(list(ranks.values()), np.int32)
+
+    def piece(self, raw: bytes) -> list[int]:
+        whole = self.ranks.get(raw)
+        return [whole] if whole is not None else self.transducer.encode(raw)
 
     def split(self, text: str) -> list[str]:
         limit = 0x80 if text.isascii() else next(x for x in (0x100, 0x10000, sys.maxunicode + 1) if ord(max(text)) < x)
@@ -340,15 +417,32 @@ class Encoder:
         starts = np.append(starts if at is None else at[starts], len(raw))
         del at
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
-        ids = [self.piece(x) for x in pieces.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        flat, lengths = self._different(pieces.dictionary)
         which = pieces.indices.to_numpy(zero_copy_only=False)
         many = lengths[which]
         upto = np.concatenate([[0], np.cumsum(many)])
         shift = (np.cumsum(lengths) - lengths)[which] - upto[:-1]
         return flat[np.repeat(shift, many) + np.arange(upto[-1])], upto[np.searchsorted(starts, bounds)]
 
+    def _different(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, each once, one after the other, and how many each has."""
+        offsets, raw = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1], np.frombuffer(pieces.buffers()[2], np.uint8)
+        found = pc.index_in(pieces, value_set=self.tokens)
+        whole = found.is_valid().to_numpy(zero_copy_only=False)
+        size = np.diff(offsets)
+        some, long = np.flatnonzero(~whole & (size <= SIDE_BY_SIDE)), np.flatnonzero(~whole & (size > SIDE_BY_SIDE))
+        ids, counts = self.transducer.encode_many(raw, offsets[some], size[some])
+        alone = [self.transducer.encode(raw[offsets[k] : offsets[k + 1]].tobytes()) for k in long.tolist()]
+        lengths = np.ones(len(pieces), np.int64)
+        lengths[some], lengths[long] = counts, [len(x) for x in alone]
+        begin = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.int32)
+        flat[begin[whole]] = self.ids[found.drop_null().to_numpy(zero_copy_only=False)]
+        flat[np.repeat(begin[some] - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
+        for k, x in zip(long.tolist(), alone, strict=True):
+            flat[begin[k] : begin[k] + len(x)] = x
+        return flat, lengths
+
 
 def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each begins (and the last ends). Null is as empty."""
