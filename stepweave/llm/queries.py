@@ -18,10 +18,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_groups(table(ship(spark), sf_dir, "documents"), n=2, threshold=0.6)
 
 
+#: A word of its own: kana and ideographs.
+_ALONE = "([\\x{3041}-\\x{3096}\\x{309F}\\x{30A1}-\\x{30FA}\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}])"
+
+
+def _words(text: str) -> str:
+    """SQL for the list of a text's words."""
+    return f"regexp_extract_all(lower(regexp_replace({text}, '{_ALONE}', ' \\1 ', 'g')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+
+
 #: Word pairs of each document; a document of one word has that, one of none has ''.
-OP1_SQL = r"""
+OP1_SQL = f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+  SELECT doc_id, {_words("text")} AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), g AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gs FROM w
 ), t AS (
@@ -147,7 +156,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPLATE_ROWS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())
 OP8_SQL = rf"""
 WITH v(template, words) AS (VALUES {_TEMPLATE_ROWS}), t AS (
-  SELECT template, list_distinct(regexp_extract_all(lower(words), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS ws FROM v
+  SELECT template, list_distinct({_words("words")}) AS ws FROM v
 ), d AS (
   SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), l AS (
@@ -159,7 +168,7 @@ WITH v(template, words) AS (VALUES {_TEMPLATE_ROWS}), t AS (
   UNION ALL
   SELECT doc_id, run, min(place), count(*), string_agg(line, chr(10) ORDER BY place) FROM r WHERE NOT regexp_full_match(line, '\s*') GROUP BY ALL HAVING count(*) > 1
 ), m AS (
-  SELECT doc_id, run, place, n_lines, template, len(list_intersect(ws, list_distinct(regexp_extract_all(lower(block), '[\p{{L}}\p{{N}}\p{{M}}]+')))) AS shared, len(ws) AS n FROM k, t
+  SELECT doc_id, run, place, n_lines, template, len(list_intersect(ws, list_distinct({_words("block")}))) AS shared, len(ws) AS n FROM k, t
 ), f AS (
   SELECT * FROM m WHERE shared >= ceil({license_scan.THRESHOLD} * n - 1e-9)
 )
@@ -176,9 +185,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Phrases of 13 words (or an item's all); else the most of an item's eight rarest words within one and a half times its length.
 OP9_SQL = rf"""
 WITH i AS (
-  SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  SELECT DISTINCT item_id, text, {_words("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ), d AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, {_words("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), sizes AS (
   SELECT DISTINCT least(len(ws), {decontaminate.PHRASE_WORDS}) AS k FROM i WHERE len(ws) > 0
 ), ig AS (

@@ -2,7 +2,8 @@
 
 The lexicon is a trie of words and of stems (which any ending may follow). A Levenshtein automaton over it - states are
 sets of (trie node, edits so far) - is determinised as words ask for it; many words walk through it at once, each by one
-array look-up a character. Words of four letters and fewer, stems and learned words must be exact.
+array look-up a character. Words of four letters and fewer must be exact, and learned words and stems near which the labelled
+clean texts have several other words.
 
 A found term weighs less the more it is edited, more near a word of address, and counts as quotation inside quotation
 marks or just after a word of report. Quotations alone never make a text toxic.
@@ -51,12 +52,14 @@ QUOTE_WORDS = 24
 
 @dataclass
 class Lexicon:
-    """Weights of words and stems; own: forms that look like an edited term but are words of their own; exact: terms that edits don't fit."""
+    """Weights of words and stems; own: forms that look like an edited term but are words of their own; exact: words that edits
+    don't fit; loose: stems that they do fit."""
 
     terms: dict[str, float] = field(default_factory=lambda: dict.fromkeys(BUILT_IN, 1.0))
     stems: dict[str, float] = field(default_factory=dict)
     own: frozenset[str] = frozenset()
     exact: frozenset[str] = frozenset()
+    loose: frozenset[str] = frozenset()
 
 
 def edits_allowed(term: str) -> int:
@@ -91,7 +94,8 @@ class Matcher:
         self.start = self._state(self._closed({(0, 0)}))
 
     def _add(self, term: str, weight: float, stem: bool) -> None:
-        allowed, node = 0 if stem or term in self.lexicon.exact else edits_allowed(term), 0
+        firm = term not in self.lexicon.loose if stem else term in self.lexicon.exact
+        allowed, node = 0 if firm else edits_allowed(term), 0
         self.most[0] = max(self.most[0], allowed)
         for c in term:
             if c not in self.children[node]:
@@ -320,7 +324,26 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     terms = [k[1:] for k in good if k[0] == "=" and not any(k[1:].startswith(s) for s in stems) and not any(f"<{k[1:][:n]}" in stems for n in range(4, 8))]
     own = {k[1:] for k, (t, c) in by.items() if k[0] == "~" and c and c * max(all_toxic, 1) * 10 > t * max(all_clean, 1)}
     new = frozenset(terms) - set(lexicon.terms)
-    return Lexicon(lexicon.terms | dict.fromkeys(new, 1.0), dict.fromkeys(stems, 1.0), frozenset(own), new)
+    found = Lexicon(lexicon.terms | dict.fromkeys(new, 1.0), dict.fromkeys(stems, 1.0), frozenset(own), loose=frozenset(stems))
+    # a learned term takes edits unless clean texts have several words like it; one such word is known as its own
+    like = map_arrow(texts.where("toxic = 0").select("text"), _edited(Matcher(found)), "term string, form string").distinct()
+    like = like.groupBy("term").agg(F.count("*").alias("n"), F.min("form").alias("form")).collect()  # as many as there are terms
+    many = {r.term for r in like if r.n > 1}
+    own = found.own | {r.form for r in like if r.n == 1 and (r.term in new or r.term in stems)}
+    return Lexicon(found.terms, found.stems, own, new & many, frozenset(stems) - many)
+
+
+def _edited(matcher: Matcher):
+    """term, form of all edited terms in texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            w = words(texts_of(b))
+            rows = sorted({(term, matcher.form(w, i)) for i, _, edits, term in matcher.find(w) if edits})
+            terms, forms = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.record_batch({"term": pa.array(terms, pa.string()), "form": pa.array(forms, pa.string())})
+
+    return run
 
 
 def _evidence(toxic: int, clean: int, rate: float) -> float:

@@ -212,6 +212,18 @@ def test_unpaired_marks_quote_nothing():
     assert [s >= toxicity.THRESHOLD for s, _, _ in m.scores(good)] == [False] * len(good)
 
 
+def test_misspelled_learned_terms(spark):
+    rng = random.Random(6)
+    plain = [f"{a}{b}en" for a in ("kal", "mor", "tis", "wem", "fol") for b in ("dor", "lim", "sak", "zup")]
+    say = lambda *more: " ".join([*rng.choices(plain, k=12), *more, *rng.choices(plain, k=12)])
+    texts = [say("zorblatten") for _ in range(60)] + [say("quibblor") for _ in range(60)] + [say(rng.choice(["quibbler", "quibblot", "harmless"])) for _ in range(300)]
+    labels = spark.createDataFrame([(k, int(k < 120)) for k in range(len(texts))], "doc_id long, toxic int")
+    lexicon = toxicity.learn(documents(spark, texts), labels)
+    assert {"zorblatten", "quibblor"} <= set(lexicon.terms) and "quibblor" in lexicon.exact and "zorblatten" not in lexicon.exact
+    scores = [s >= toxicity.THRESHOLD for s, _, _ in toxicity.Matcher(lexicon).scores([say("zorblatten"), say("zorblaten"), say("zorblqtten"), say("quibblor"), say("quibbler"), say("quibblox"), say()])]
+    assert scores == [True, True, True, True, False, False, False]
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
