@@ -499,7 +499,13 @@ def probe_spec(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(spec.dataset_id, spec.action.shape[0], sorted(spec.observation))], "dataset_id string, width int, features array<string>")
 
 
-@query()
+_PARTS = ("validate_timestamps", "validate_schema", "validate_images", "validate_alignment")
+
+
+@query("WITH found AS (" + " UNION ALL ".join(f"SELECT severity, episode_id FROM ({SQL[n]})" for n in _PARTS) + " UNION ALL SELECT 'WARN', episode_id FROM (" + _with(_ORDERS) + """ SELECT DISTINCT episode_id FROM steps WHERE action IS NOT NULL AND (list_max(action) > 10 OR list_min(action) < -10)))
+, worst AS (SELECT episode_id, max(CASE severity WHEN 'ERROR' THEN 2 ELSE 1 END) AS w FROM found GROUP BY 1), v AS (SELECT e.episode_id, coalesce(w, 0) AS w FROM (SELECT DISTINCT printf('orders_%06d', l_orderkey) AS episode_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey) e LEFT JOIN worst USING (episode_id))
+SELECT count(*) AS episodes, count(*) FILTER (w = 0) AS valid_episodes, count(*) FILTER (w = 1) AS invalid_episodes, count(*) FILTER (w = 2) AS error_episodes,
+(SELECT count(*) FROM found WHERE severity = 'ERROR') AS error_findings, (SELECT count(*) FROM found WHERE severity = 'WARN') AS warn_findings, CAST(0 AS BIGINT) AS info_findings FROM v""")
 def validate_all(spark: SparkSession, d: str) -> DataFrame:
     """Every validator, triaged into one report."""
     return C.Compiler("orders").validate_only(S.order_steps(spark, d), spark, spec=_SPEC)[1]

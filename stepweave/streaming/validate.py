@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,15 @@ def _advance(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState,
         return
     pdf = pd.concat(list(parts), ignore_index=True).sort_values("step_index", kind="stable")
     was = closed
-    for r in pdf.itertuples():
-        if closed:
-            late += 1
-            continue
-        n, first, last = n + 1, first + bool(r.is_first), last + bool(r.is_last)
-        back, misplaced = back + (r.timestamp < ts), misplaced + (r.step_index != step + 1)
-        ts, step, closed = r.timestamp, r.step_index, bool(r.is_last)
+    steps, times, ends = pdf["step_index"].to_numpy(), pdf["timestamp"].to_numpy(float), pdf["is_last"].to_numpy(bool)
+    # what comes after the first last step is late
+    used = 0 if closed else int(ends.argmax()) + 1 if ends.any() else len(pdf)
+    late += len(pdf) - used
+    if used:
+        n, first, last = n + used, first + int(pdf["is_first"].to_numpy(bool)[:used].sum()), last + int(ends[:used].sum())
+        back += int((times[:used] < np.append(ts, times[: used - 1])).sum())
+        misplaced += int((steps[:used] != np.append(step, steps[: used - 1]) + 1).sum())
+        ts, step, closed = times[used - 1], steps[used - 1], bool(ends[used - 1])
     state.update((n, first, last, back, misplaced, float(ts), int(step), closed, late))
     if timeout_ms:
         state.setTimeoutDuration(timeout_ms)
@@ -44,8 +47,9 @@ def _row(*values: Any) -> pd.DataFrame:
 def validate_stream(steps: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """A row for each episode once its last step has come, and again if steps come later (late).
 
-    steps: a stream of episode_id, step_index, is_first, is_last, timestamp. State: a few numbers an episode. With a
-    timeout an episode that gets no steps for so long ends as incomplete and its state goes; the query then never idles.
+    steps: a stream of episode_id, step_index, is_first, is_last, timestamp. State: a few numbers an episode. An episode that
+    gets no steps for timeout_ms ends (as incomplete if its last step never came) and its state goes: a stream without end
+    needs that. With None states stay and the query can idle, so that a trigger of what is available now comes to its end.
     """
     narrow = steps.select("episode_id", "step_index", "is_first", "is_last", "timestamp")
     kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
