@@ -12,7 +12,9 @@ from stepweave.functions import actions as A
 from stepweave.functions import hashing as H
 from stepweave.functions import keys as K
 from stepweave.functions import versions as N
-from stepweave.operators import evaluate, stats
+from stepweave.functions.mixtures import Mixture, Part
+from stepweave.functions.text import decoded
+from stepweave.operators import evaluate, shards, stats
 from stepweave.operators import index as X
 from stepweave.operators import transforms as T
 from stepweave.operators import validators as V
@@ -339,3 +341,89 @@ def streamed_validation(spark: SparkSession, d: str) -> DataFrame:
 def conformed_steps(spark: SparkSession, d: str) -> DataFrame:
     df = S.order_steps(spark, d).select("episode_id", "step_index")
     return conform(df, STEPS, {"dataset_id": "none"}).select("episode_id", "step_index", "dataset_id", "discount")
+
+
+# -- files of smaller things ------------------------------------------------------------------------------------------------
+
+
+@query(_with(_ORDERS, _INDEX) + """
+, x AS (SELECT *, CAST(('0x' || substr(sha256('7:' || robot_id || ':' || episode_id), 1, 8)) AS BIGINT) / 4294967295.0 AS s FROM ix)
+SELECT robot_id, count(*) AS n FROM x WHERE (robot_id = '1-URGENT' AND num_steps >= 3 AND s < 0.5) OR (robot_id = '5-LOW' AND s < 1.0) GROUP BY 1""")
+def mixture_from_a_file(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "mixture.yaml").removeprefix("file:")
+    Mixture("m", [Part("1-URGENT", 1.0, {"min_steps": 3}), Part("5-LOW", 2.0)], 7).to_yaml(path)
+    index = X.build(S.order_steps(spark, d), row_ranges=False)
+    return Mixture.from_yaml(path).sample(index, "robot_id").groupBy("robot_id").agg(F.count("*").alias("n"))
+
+
+@query(_with(_EVENTS) + " SELECT episode_id, step_index, is_first, round(ts, 4) AS timestamp, value AS state FROM ev")
+def steps_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Steps to texts of JSON and back."""
+    steps = conform(S.event_steps(spark, d), STEPS)
+    back = steps.select(F.to_json(F.struct(*steps.columns)).alias("j")).select(F.from_json("j", steps.schema).alias("s")).select("s.*")
+    return back.select("episode_id", "step_index", "is_first", F.round("timestamp", 4).alias("timestamp"), F.col("observation")["observation.state"]["num"][0].alias("state"))
+
+
+@query("SELECT printf('%s/%d', o_orderpriority, o_orderkey) AS episode, round(CAST(('0x' || substr(sha256('42:' || o_orderpriority || '/' || o_orderkey || ':noise'), 1, 8)) AS BIGINT) / 4294967295.0, 6) AS noise FROM orders")
+def episode_noise(spark: SparkSession, d: str) -> DataFrame:
+    """A number for each episode and purpose, whatever the partitioning."""
+    episode = F.concat_ws("/", "o_orderpriority", "o_orderkey")
+    return spark.read.parquet(f"{d}/orders.parquet").select(episode.alias("episode"), F.round(H.uniform(F.concat(episode, F.lit(":noise"))), 6).alias("noise"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def decoded_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", decoded(F.encode("text", "UTF-8")).alias("text"))
+
+
+@query(_with(_ORDERS) + " SELECT episode_id, CASE WHEN n < 3 THEN 'ERROR' ELSE 'WARN' END AS severity, CASE WHEN n < 3 THEN 'too short' ELSE 'very long' END AS message FROM (SELECT DISTINCT episode_id, n FROM steps) WHERE n < 3 OR n > 7")
+def findings_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "findings")
+    sinks.write_findings_csv(V.length(S.order_steps(spark, d), 3, 7), path)
+    return spark.read.option("header", True).csv(f"{path}/findings.csv").select("episode_id", "severity", "message")
+
+
+@query("SELECT 'meta/' || r_regionkey || '.txt' AS file, sha256(r_name) AS sha FROM region UNION ALL SELECT 'data/x/' || r_regionkey || '.bin', sha256(r_name || r_name) FROM region")
+def file_checksums(spark: SparkSession, d: str) -> DataFrame:
+    path = Path(new_path(spark, "sums").removeprefix("file:"))
+    for r in spark.read.parquet(f"{d}/region.parquet").collect():  # five rows
+        for name, text in ((f"meta/{r.r_regionkey}.txt", r.r_name), (f"data/x/{r.r_regionkey}.bin", r.r_name * 2), ("meta/.hidden", ""), ("other.txt", "")):
+            (path / name).parent.mkdir(parents=True, exist_ok=True)
+            (path / name).write_text(text)
+    return sinks.checksums(spark, str(path))
+
+
+@query("""
+WITH RECURSIVE z AS (SELECT event_type AS camera, user_id AS e, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS k FROM events GROUP BY 1, 2),
+p AS (SELECT camera, e, n, k, 0 AS shard, n AS used FROM z WHERE k = 1 UNION ALL SELECT z.camera, z.e, z.n, z.k, p.shard + CASE WHEN p.used + z.n > 40 THEN 1 ELSE 0 END, CASE WHEN p.used + z.n > 40 THEN z.n ELSE p.used + z.n END FROM p JOIN z ON z.camera = p.camera AND z.k = p.k + 1)
+SELECT camera, CAST(shard AS INTEGER) AS shard, CAST(sum(n) AS BIGINT) AS frames, CAST(sum(n) * 12 AS BIGINT) AS bytes FROM p GROUP BY ALL""")
+def encoded_videos(spark: SparkSession, d: str) -> DataFrame:
+    """Frames through an encoder that only keeps them: an event is a frame, its type the camera, a user the episode."""
+    path = new_path(spark, "videos").removeprefix("file:")
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("camera"), F.col("user_id").alias("episode_index"), F.col("event_id").cast("int").alias("step_index"))
+    frames = e.withColumns({"height": F.lit(2), "width": F.lit(2), "data": F.repeat(F.lit("x"), 12).cast("binary")})
+    placed = shards.pack(frames.groupBy("camera", "episode_index").agg(F.count("*").alias("num_steps")), 40, group="camera")
+    done = sinks.encode_videos(frames, placed, path, ["sh", "-c", "cat > {out}"])
+    sizes = {(r.camera, r.shard): (r.frames, Path(r.file).stat().st_size) for r in done.collect()}  # a row a file
+    return spark.createDataFrame([(c, s, n, b) for (c, s), (n, b) in sizes.items()], "camera string, shard int, frames long, bytes long")
+
+
+@query(_with(_ORDERS) + " SELECT episode_id, step_index, [2, 3, 3] AS shape, CAST(l_quantity AS INTEGER) + 32 AS low, CAST(l_quantity AS INTEGER) + 32 AS high, [4, 4, 3] AS was FROM steps WHERE rf = 'R'")
+def resized_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of one shade each, made smaller by interpolation."""
+    shade = F.char((F.col("observation")["observation.state"]["num"][0] + 32).cast("int"))
+    one = F.map_from_arrays(F.array(F.lit("observation.images.front")), F.array(S.image(F.repeat(shade, 48), F.array(F.lit(4), F.lit(4), F.lit(3)))))
+    steps = S.order_steps(spark, d).where(F.map_contains_key("observation", "observation.images.wrist")).withColumn("observation", one)
+    v = F.col("observation")["observation.images.front"]
+    places = F.transform(F.sequence(F.lit(1), F.length(v["bin"])), lambda i: F.ascii(F.substring(v["bin"].cast("string"), i, F.lit(1))))
+    out = steps.transform(T.standardize_images((2, 3), interpolation="bilinear", record_shapes=True))
+    return out.select("episode_id", "step_index", v["shape"].alias("shape"), F.array_min(places).alias("low"), F.array_max(places).alias("high"), F.col("image_shapes")["observation.images.front"].alias("was"))
+
+
+@query(_with(_ORDERS) + " SELECT episode_id, step_index, CAST(d - 1 AS INTEGER) AS dim, round(CAST(x AS FLOAT), 4) + CAST(0 AS FLOAT) AS x FROM (SELECT episode_id, step_index, unnest(list_resize(action, 5, 1.5)) AS x, unnest(range(1, 6)) AS d FROM steps WHERE action IS NOT NULL)")
+def configured_for_a_data_set(spark: SparkSession, d: str) -> DataFrame:
+    """A pipeline file in which a data set has values of its own."""
+    path = new_path(spark, "pipeline.yaml").removeprefix("file:")
+    Path(path).write_text("transforms: [{name: pad_action, params: {target_dim: 9}}]\ndatasets:\n  orders:\n    transforms: [{name: pad_action, params: {target_dim: 5, pad_value: 1.5}}]\n")
+    df = T.chain(*[t for _, t in C.from_config(C.load_config(path, "orders"))])(S.order_steps(spark, d))
+    return df.where("action is not null").select("episode_id", "step_index", F.posexplode("action").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("float"), 4) + F.lit(0.0).cast("float"))
