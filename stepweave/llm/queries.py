@@ -156,7 +156,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPLATE_ROWS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())
 OP8_SQL = rf"""
 WITH v(template, words) AS (VALUES {_TEMPLATE_ROWS}), t AS (
-  SELECT template, list_distinct({_words("words")}) AS ws FROM v
+  SELECT template, list_distinct({_words("words")}) AS ws, len({_words("words")}) AS n_all FROM v
 ), d AS (
   SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), l AS (
@@ -171,9 +171,27 @@ WITH v(template, words) AS (VALUES {_TEMPLATE_ROWS}), t AS (
   SELECT doc_id, run, place, n_lines, template, len(list_intersect(ws, list_distinct({_words("block")}))) AS shared, len(ws) AS n FROM k, t
 ), f AS (
   SELECT * FROM m WHERE shared >= ceil({license_scan.THRESHOLD} * n - 1e-9)
+), p AS (
+  SELECT doc_id, run, min(place) AS first, max(place) AS last, sum(len({_words("line")})) AS n_words, list_distinct(flatten(list({_words("line")}))) AS ws FROM r WHERE NOT regexp_full_match(line, '\s*') GROUP BY doc_id, run
+), q AS (
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id ORDER BY run) AS upto FROM p
+), whole AS (
+  SELECT doc_id, template, t.ws AS own, n_all, ceil({license_scan.THRESHOLD} * len(t.ws) - 1e-9) AS need FROM (SELECT doc_id, list_distinct(flatten(list(ws))) AS every FROM p GROUP BY doc_id HAVING count(*) > 1), t WHERE len(list_intersect(t.ws, every)) >= ceil({license_scan.THRESHOLD} * len(t.ws) - 1e-9)
+), o AS (
+  SELECT q.*, template, n_all, need, len(own) AS n, list_intersect(ws, own) AS mine FROM q JOIN whole USING (doc_id) WHERE len(list_intersect(ws, own)) > 0
+), w AS (
+  SELECT a.doc_id, a.template, a.run AS begins, b.run AS ends, a.first, b.last, a.n, len(list_distinct(flatten(list(c.mine)))) AS shared
+  FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.template = b.template AND b.run >= a.run AND (b.run = a.run OR b.upto - a.upto + a.n_words <= {license_scan.WINDOW_LENGTH} * a.n_all)
+  JOIN o c ON c.doc_id = a.doc_id AND c.template = a.template AND c.run BETWEEN a.run AND b.run
+  GROUP BY ALL HAVING len(list_distinct(flatten(list(c.mine)))) >= any_value(a.need)
+), s AS (
+  SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, template, begins ORDER BY ends) = 1
+), z AS (
+  SELECT * FROM s x WHERE begins < ends AND NOT EXISTS (SELECT 1 FROM s y WHERE y.doc_id = x.doc_id AND y.template = x.template AND y.begins > x.begins AND y.ends <= x.ends)
 )
 SELECT doc_id, CAST(place AS INTEGER) AS line, CAST(n_lines AS INTEGER) AS n_lines, template, CAST(shared AS INTEGER) AS shared, CAST(n AS INTEGER) AS template_words FROM f
 WHERE n_lines = 1 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.run = f.run AND g.template = f.template AND g.n_lines = 1)
+UNION ALL SELECT doc_id, CAST(first AS INTEGER), CAST(last - first + 1 AS INTEGER), template, CAST(shared AS INTEGER), CAST(n AS INTEGER) FROM z
 """
 
 
