@@ -41,43 +41,44 @@ def _emit(df: DataFrame, *rules: Column) -> DataFrame:
     return each.select(*[("episode_id" if c == "episode_id" else f"f.{c}") for c in COLUMNS])
 
 
-def rlds(steps: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
-    """Flags and places; episodes (episode_id) of which there is no step are found if given."""
-    code = "rlds_invariants"
-    n = F.count("*").over(W.partitionBy("episode_id"))
-    df = steps.select("episode_id", "step_index", "is_first", "is_last", "is_terminal", F.col("action").isNotNull().alias("acts")).withColumn("n", n)
-    first, last, i = F.col("step_index") == 0, F.col("step_index") == F.col("n") - 1, F.col("step_index")
+def _rlds_rules() -> list[Column]:
+    code, i = "rlds_invariants", F.col("step_index")
+    first, last = i == 0, i == F.col("n") - 1
     inner = ~first & ~last
-    found = _emit(
-        df,
+    return [
         _finding(first & ~F.col("is_first"), ERROR, code, 1, "the first step isn't marked as first", i),
         _finding(last & ~F.col("is_last"), ERROR, code, 2, "the last step isn't marked as last", i),
         _finding(last & F.col("acts"), WARN, code, 3, "the last step has an action", i),
         _finding(inner & F.col("is_first"), ERROR, code, 4, "a step inside is marked as first", i),
         _finding(inner & F.col("is_last"), ERROR, code, 5, "a step inside is marked as last", i),
         _finding(F.col("is_terminal") & ~F.col("is_last"), WARN, code, 6, "a terminal step isn't the last", i),
-    )
-    if episodes is not None:
-        empty = episodes.select("episode_id").join(steps.select("episode_id").distinct(), "episode_id", "left_anti")
-        found = found.unionByName(_emit(empty, _finding(F.lit(True), ERROR, code, 0, "no steps")))
-    return found
+    ]
 
 
-def length(steps: DataFrame, min_length: int = 1, max_length: int = 100_000, episodes: DataFrame | None = None) -> DataFrame:
+def _length_rules(n: Column, min_length: int, max_length: int) -> list[Column]:
     code = "episode_length"
+    return [_finding(n < min_length, ERROR, code, 1, "too short", value=n), _finding(n > max_length, WARN, code, 2, "very long", value=n)]
+
+
+def _time_rules(max_gap_factor: float, rate_hz: float) -> list[Column]:
+    code, t, b, i = "timestamps", F.col("timestamp"), F.col("before"), F.col("step_index")
+    return [_finding(t < b, ERROR, code, 1, "time goes back", i, value=t), _finding(t - b > (1.0 / rate_hz) * max_gap_factor, WARN, code, 2, "a large gap", i, value=t - b)]
+
+
+def rlds(steps: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
+    """Flags and places; episodes (episode_id) of which there is no step are found if given."""
+    return in_order(steps, {"rlds_invariants"}, episodes)
+
+
+def length(steps: DataFrame, min_length: int = 1, max_length: int = 100_000, episodes: DataFrame | None = None) -> DataFrame:
     n = steps.groupBy("episode_id").agg(F.count("*").alias("n"))
     if episodes is not None:
         n = episodes.select("episode_id").join(n, "episode_id", "left").select("episode_id", F.coalesce("n", F.lit(0)).alias("n"))
-    k = F.col("n")
-    return _emit(n, _finding(k < min_length, ERROR, code, 1, "too short", value=k), _finding(k > max_length, WARN, code, 2, "very long", value=k))
+    return _emit(n, *_length_rules(F.col("n"), min_length, max_length))
 
 
 def timestamps(steps: DataFrame, max_gap_factor: float = 2.0, rate_hz: float = 10.0) -> DataFrame:
-    code = "timestamps"
-    before = F.lag("timestamp").over(W.partitionBy("episode_id").orderBy("step_index"))
-    df = steps.select("episode_id", "step_index", "timestamp").withColumn("before", before)
-    t, b, i = F.col("timestamp"), F.col("before"), F.col("step_index")
-    return _emit(df, _finding(t < b, ERROR, code, 1, "time goes back", i, value=t), _finding(t - b > (1.0 / rate_hz) * max_gap_factor, WARN, code, 2, "a large gap", i, value=t - b))
+    return in_order(steps, {"timestamps"}, rate_hz=rate_hz, max_gap_factor=max_gap_factor)
 
 
 def action_sanity(steps: DataFrame, bounds: tuple[float, float] = (-10.0, 10.0), sigma: float = 5.0) -> DataFrame:
@@ -297,17 +298,38 @@ def coded(steps: DataFrame, spec: DatasetSpec | None = None, episodes: DataFrame
 VALIDATORS: dict[str, Callable[..., DataFrame]] = {"rlds_invariants": rlds, "episode_length": length, "timestamps": timestamps, "action_sanity": action_sanity, "schema": schema, "image_integrity": image_integrity, "image_alignment": image_alignment}
 
 
+def in_order(steps: DataFrame, names: set[str], episodes: DataFrame | None = None, rate_hz: float = 10.0, min_length: int = 1, max_length: int = 100_000, max_gap_factor: float = 2.0) -> DataFrame:
+    """What rlds, length and timestamps find, of those that names has, in one pass: one shuffle and one sort of the steps."""
+    every = W.partitionBy("episode_id")
+    df = steps.select("episode_id", "step_index", "is_first", "is_last", "is_terminal", "timestamp", F.col("action").isNotNull().alias("acts"))
+    df = df.withColumns({"n": F.count("*").over(every), "k": F.row_number().over(every.orderBy("step_index")), "before": F.lag("timestamp").over(every.orderBy("step_index"))})
+    rules = []
+    if "rlds_invariants" in names:
+        rules += _rlds_rules()
+    if "episode_length" in names:
+        rules += _length_rules(F.when(F.col("k") == 1, F.col("n")), min_length, max_length)
+    if "timestamps" in names:
+        rules += _time_rules(max_gap_factor, rate_hz)
+    found = _emit(df, *rules)
+    if episodes is not None and names & {"rlds_invariants", "episode_length"}:
+        empty = episodes.select("episode_id").join(steps.select("episode_id").distinct(), "episode_id", "left_anti")
+        none = [_finding(F.lit(True), ERROR, "rlds_invariants", 0, "no steps")] * ("rlds_invariants" in names) + _length_rules(F.lit(0), min_length, max_length) * ("episode_length" in names)
+        found = found.unionByName(_emit(empty, *none))
+    return found
+
+
 def validate(steps: DataFrame, episodes: DataFrame | None = None, spec: DataFrame | None = None, names: list[str] | None = None, rate_hz: float | None = None) -> DataFrame:
     """All findings of the validators named (by default all; schema only with a spec). rate_hz: the steps' rate, 10 if unknown."""
-    parts = []
-    for n in names or list(VALIDATORS):
+    names, parts = names or list(VALIDATORS), []
+    together = {"rlds_invariants", "episode_length", "timestamps"}.intersection(names)
+    if together:
+        parts.append(in_order(steps, together, episodes, rate_hz or 10.0))
+    for n in names:
+        if n in together:
+            continue
         if n == "schema":
             if spec is not None:
                 parts.append(schema(steps, spec))
-        elif n in ("rlds_invariants", "episode_length"):
-            parts.append(VALIDATORS[n](steps, episodes=episodes))
-        elif n == "timestamps":
-            parts.append(VALIDATORS[n](steps, rate_hz=rate_hz or 10.0))
         else:
             parts.append(VALIDATORS[n](steps))
     return reduce(DataFrame.unionByName, parts)

@@ -28,8 +28,25 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["robot_id", "split", "episodes", "mean_steps"]
 
 
-def test_filters_reach_the_scan(spark):
-    from pyspark.sql import functions as F
+def plan(df):
+    return df._jdf.queryExecution().toString()
 
-    plan = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where(F.col("o_orderkey") > 5).select("o_orderkey")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,5)]" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+@pytest.mark.parametrize(("name", "filters", "without"), [
+    ("selector_slice", ["GreaterThanOrEqual(l_orderkey,100)", "LessThan(l_orderkey,200)"], ["l_returnflag", "o_totalprice"]),
+    ("eval_metrics", [], ["o_orderdate"]), ("json_properties", [], ["user_id", "value"]), ("conversation_episodes", [], []),
+])
+def test_filters_and_columns_reach_the_scan(spark, name, filters, without):
+    text = plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    scans = [x for x in text.splitlines() if "FileScan parquet" in x]
+    assert scans and all(f in "".join(scans) for f in filters) and not any(f"{c}:" in x.split("ReadSchema")[1] for c in without for x in scans)
+    assert "CartesianProduct" not in text and "BatchEvalPython" not in text
+
+
+def test_one_sort_for_rules_in_order(spark):
+    from stepweave.operators import validators as V
+    from stepweave.sources import adapters as S
+
+    steps = S.conversation_steps(spark, "/root/testdata/sf0.001")
+    text = plan(V.in_order(steps, {"rlds_invariants", "episode_length", "timestamps"})).split("== Physical Plan ==")[1]
+    assert text.count("Exchange hashpartitioning") <= 2 and text.count("FileScan") == 1
