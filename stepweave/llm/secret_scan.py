@@ -111,15 +111,15 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, p
     text = quoted(text_col).cast("string")
     base = versions.select(quoted(path_col).cast("string").alias("path"), quoted(version_col).cast("string").alias("version"), text.alias("text")).where("text is not null")
     blob = F.sha2(F.col("text").cast("binary"), 256)
-    parts = (F.coalesce("path", F.lit("\0")), F.coalesce("version", F.lit("\0")), "blob")
+    parts = (F.coalesce("path", F.lit("\0")), F.coalesce("version", F.lit("\0")), "text")
     row = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))  # 128 bits
-    every = cut(base.groupBy("path", "version", blob.alias("blob")).agg(F.count("*").alias("times")).withColumn("row", row))
+    every = cut(base.select("path", "version", blob.alias("blob"), row.alias("row")).groupBy("path", "version", "blob", "row").agg(F.count("*").alias("times")))
     known = ledger.scanned().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
     keys = F.array(*[F.lit(r.key) for r in rules]) if rules else F.array().cast("array<string>")
     blobs = every.groupBy("blob").agg(F.min_by(F.struct("row", "times"), "row").alias("x")).select("blob", "x.*")
     first = cut(blobs.join(known, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("known"))
     skipped = every.join(first, "row", "left_anti").select("row")
-    rows = base.withColumn("blob", blob).select(row.alias("row"), "text")
+    rows = base.select(row.alias("row"), "text")
     hits = _copies(rows, first.select("row", "todo"), skipped).select("row", F.explode(_found(list(rules), F.col("todo"), F.col("text"))).alias("f"))
     found = hits.groupBy("row", "f.rule", "f.rule_version", "f.secret").agg(F.count("*").alias("n"))
     # repeated rows of one path, version and blob are all scanned; the count is that of one of them
