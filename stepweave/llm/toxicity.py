@@ -247,7 +247,7 @@ def in_quotes(text: str, start: int, end: int) -> bool:
     return any(left.rfind(x) > left.rfind(y) and y in right and x not in right[: right.find(y)] for x, y in _PAIRS)
 
 
-# -- learning terms -------------------------------------------------------------------------------------------------
+# -- learning terms --
 
 MAX_LABELLED = 10_000
 _WORD = re.compile(r"[^\W\d_]{4,}")
@@ -371,7 +371,7 @@ def _stems(found: dict[str, tuple[int, int]]) -> list[str]:
     return sorted(out)
 
 
-# -- scoring --------------------------------------------------------------------------------------------------------
+# -- scoring --
 
 
 _MADE = (("score", T.DoubleType()), ("n_terms", T.IntegerType()), ("n_quoted", T.IntegerType()), ("toxic", T.BooleanType()))

@@ -33,7 +33,7 @@ def test_same_as_sql(name, same_rows):
     same_rows(Q.queries()[name], Q.oracle_sql()[name], some=not name.startswith("op2"))  # the smallest tables have no secrets
 
 
-# -- 1 ----------------------------------------------------------------------------------------------------------------
+# -- 1 --
 
 
 def brute_pairs(texts, n, threshold):
@@ -88,7 +88,7 @@ def test_components_the_other_way(spark):
     assert {tuple(r) for r in jaccard_join.components(edges, one_task=1).collect()} == {tuple(r) for r in jaccard_join.components(edges).collect()}
 
 
-# -- 2 ----------------------------------------------------------------------------------------------------------------
+# -- 2 --
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
@@ -109,7 +109,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert secret_scan.scan(df.limit(0), secret_scan.Ledger(spark, str(tmp_path / "e")), rules).count() == 0
 
 
-# -- 3 ----------------------------------------------------------------------------------------------------------------
+# -- 3 --
 
 
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
@@ -122,7 +122,7 @@ def test_spread_lines(spark, broadcast_rows):
     assert line_dedup.remove_spread_lines(docs.limit(0), 3, 10).count() == 0
 
 
-# -- 4 ----------------------------------------------------------------------------------------------------------------
+# -- 4 --
 
 
 def test_bpe_is_that_of_its_definition_and_round_trips(spark):
@@ -163,7 +163,7 @@ def test_bpe_documents(spark):
     assert {r.doc_id: r.text for r in bpe.decode_documents(out.drop("text")).collect()} == dict(enumerate(ODD))
 
 
-# -- 5 ----------------------------------------------------------------------------------------------------------------
+# -- 5 --
 
 
 def distance(a, b):
@@ -224,7 +224,7 @@ def test_misspelled_learned_terms(spark):
     assert scores == [True, True, True, True, False, False, False]
 
 
-# -- 6 ----------------------------------------------------------------------------------------------------------------
+# -- 6 --
 
 
 def test_fingerprints(spark):
@@ -258,7 +258,7 @@ def test_bases_against_brute_force(spark, paired, share):
     assert len(rows) == len(texts)
 
 
-# -- 7 ----------------------------------------------------------------------------------------------------------------
+# -- 7 --
 
 
 def test_language_of_held_out_texts(spark):
@@ -279,7 +279,7 @@ def test_language_cases(spark):
     assert language_id.identify(docs.limit(0), language_id.fit(docs.limit(0))).count() == 0
 
 
-# -- 8 ----------------------------------------------------------------------------------------------------------------
+# -- 8 --
 
 
 @pytest.mark.parametrize(("threshold", "at_once"), [(0.85, 10**6), (0.5, 20)])
@@ -370,7 +370,7 @@ def test_licenses_of_several_paragraphs(spark, tmp_path):
     assert sorted(map(tuple, every.select("doc_id", "line", "n_lines", "template", "shared", "template_words").collect())) == sorted(want) and any(r[2] > 1 and r[0] > 5 for r in want)
 
 
-# -- 9 ----------------------------------------------------------------------------------------------------------------
+# -- 9 --
 
 
 def test_benchmark_phrases_against_brute_force(spark):
@@ -429,7 +429,7 @@ def test_short_benchmark_items(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [0, 1, 2, 3, 5, 6, 7]
 
 
-# -- 10 ---------------------------------------------------------------------------------------------------------------
+# -- 10 --
 
 
 def test_values_are_found_whole():
@@ -494,7 +494,7 @@ def test_places_inside_entities_do_not_count(spark):
     assert all("nnabel" not in t for t in rows.values())
 
 
-# -- everything over odd tables -----------------------------------------------------------------------------------------
+# -- everything over odd tables --
 
 
 def test_odd_tables(spark):

@@ -25,7 +25,7 @@ def test_stages_and_rows(spark):
         assert stage(spark, docs.limit(0), D).count() == 0
 
 
-# -- the same by brute force, without Spark -------------------------------------------------------------------------------
+# -- the same by brute force, without Spark --
 
 
 def no_spread_lines(docs):
