@@ -72,7 +72,7 @@ def r6(c: str) -> Column:
     return F.round(c, 6).alias(c)
 
 
-# -- index and queries over it ------------------------------------------------------------------------------------------
+# -- index and queries over it --
 
 
 @query(_with(_ORDERS, _INDEX) + " SELECT episode_id, robot_id, task_text, num_steps, duration_secs, start_timestamp, end_timestamp, camera_set FROM ix")
@@ -134,7 +134,7 @@ def overlap_check(spark: SparkSession, d: str) -> DataFrame:
     return X.overlaps(ranges)
 
 
-# -- splits and seeds -----------------------------------------------------------------------------------------------------
+# -- splits and seeds --
 
 
 def _split_sql(digest: str) -> str:
@@ -179,7 +179,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("robot_id", "split").agg(F.count("*").alias("episodes"), F.round(F.avg("num_steps"), 6).alias("mean_steps"))
 
 
-# -- validators -----------------------------------------------------------------------------------------------------------
+# -- validators --
 
 _F = ["severity", "code", "episode_id", "step_index", "field", "ord"]
 _RLDS = """
@@ -312,7 +312,7 @@ def reject_errors(spark: SparkSession, d: str) -> DataFrame:
     return X.without(S.order_steps(spark, d), found).select("episode_id", "step_index")
 
 
-# -- statistics and transforms --------------------------------------------------------------------------------------------
+# -- statistics and transforms --
 
 
 @query(_with(_VECTORS) + """
@@ -416,7 +416,7 @@ def history_windows(spark: SparkSession, d: str) -> DataFrame:
     return S.event_steps(spark, d).transform(T.history(3)).where("not is_last").select("episode_id", "step_index", F.round(total, 4).alias("s"))
 
 
-# -- evaluation, cards, joins, text ---------------------------------------------------------------------------------------
+# -- evaluation, cards, joins, text --
 
 
 @query("""

@@ -29,7 +29,7 @@ from stepweave.streaming.validate import RESULT, validate_stream
 _SPEC = DatasetSpec("orders", {"observation.state": FeatureSpec("float32", (2,)), "observation.language": FeatureSpec("string")}, FeatureSpec("float32", (4,)), control_rate_hz=1 / 86_400)
 
 
-# -- compiled data sets ---------------------------------------------------------------------------------------------------
+# -- compiled data sets --
 
 
 def _compiled(spark: SparkSession, d: str, **k) -> str:
@@ -107,7 +107,7 @@ def slice_copy(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sinks.Layout(out).data).groupBy("episode_id").agg(F.count("*").alias("n"), F.round(F.sum("timestamp"), 2).alias("total"))
 
 
-# -- records --------------------------------------------------------------------------------------------------------------
+# -- records --
 
 
 @query(_with(_ORDERS) + """
@@ -152,7 +152,7 @@ def merged_sets(spark: SparkSession, d: str) -> DataFrame:
     return sinks.merge(a, b.withColumn("more", F.lit(1))).groupBy("episode_index", "dataset_id", "more").agg(F.count("*").cast("int").alias("n"))
 
 
-# -- rules and rates ------------------------------------------------------------------------------------------------------
+# -- rules and rates --
 
 
 @query(_with(_ORDERS) + """
@@ -206,7 +206,7 @@ def overridden_severities(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
-# -- index and configuration ----------------------------------------------------------------------------------------------
+# -- index and configuration --
 
 
 @query(_with(_ORDERS, _INDEX) + " SELECT episode_id, num_steps FROM ix WHERE episode_id IN ('orders_000001', 'orders_000007') OR (robot_id = '1-URGENT' AND task_text LIKE '%from%') OR num_steps IN (1, 7)")
@@ -242,7 +242,7 @@ def configured_chain(spark: SparkSession, d: str) -> DataFrame:
     return df.where("action is not null").select("episode_id", "step_index", F.posexplode("action").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("float"), 4) + F.lit(0.0).cast("float"))
 
 
-# -- small functions ------------------------------------------------------------------------------------------------------
+# -- small functions --
 
 
 @query("SELECT p_partkey, lower(replace(replace(p_type, ' ', '_'), '-', '_')) AS key, CASE WHEN p_size % 3 < 2 THEN lower(replace(p_brand, '#', '_')) END AS camera FROM part")
@@ -343,7 +343,7 @@ def conformed_steps(spark: SparkSession, d: str) -> DataFrame:
     return conform(df, STEPS, {"dataset_id": "none"}).select("episode_id", "step_index", "dataset_id", "discount")
 
 
-# -- files of smaller things ------------------------------------------------------------------------------------------------
+# -- files of smaller things --
 
 
 @query(_with(_ORDERS, _INDEX) + """
