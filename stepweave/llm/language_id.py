@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepweave.llm.common import carried, column, map_arrow, others, quoted, slices, texts_of
-from stepweave.llm.textnp import codepoints, counted, distinct, mix, tables
+from stepweave.llm.textnp import codepoints, counted, mix, tables
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 6_000
@@ -70,8 +70,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(BUCKETS, np.int64), 0
     for b in slices(batches):
         f, bounds = features(texts_of(b))
-        of = np.repeat(np.arange(b.num_rows), np.diff(bounds))
-        total += np.bincount(distinct(np.sort(of * BUCKETS + f)) % BUCKETS, minlength=BUCKETS)
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):  # faster than to sort the features of each text
+            seen = np.zeros(BUCKETS, bool)
+            seen[f[i:j]] = True
+            total += seen
         n += b.num_rows
     there = np.flatnonzero(total)
     yield pa.record_batch({"feature": pa.array(np.append(there, -1)), "n": pa.array(np.append(total[there], n))})
@@ -121,13 +123,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def rows_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text its features in order, and their shares."""
+    """Of each text its features in order, and how often each is there."""
     f, bounds = features(texts)
-    out = []
-    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-        ids, n = counted(np.sort(f[i:j]))
-        out.append((ids, n / max(j - i, 1)))
-    return out
+    return [counted(np.sort(f[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, held_out: float = 0.2) -> Model:
@@ -136,7 +134,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.
     if len(languages) < 2:
         return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0)
     k = len(languages)
-    rows = [(ids, SCALE * share * idf[ids]) for ids, share in rows]
+    rows = [(ids, SCALE * n / max(n.sum(), 1) * idf[ids]) for ids, n in rows]
     y = np.array([languages.index(x) for x in labels])
     used = max(1, len(rows) - int(held_out * len(rows)))
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
@@ -172,14 +170,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        rows = rows_of(texts_of(b))
-        yield pa.record_batch([column(b, "key"), column(b, "label"), pa.array([x.astype(np.int32).tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["key", "label", "ids", "shares"])
+        # features are below 2**16; first all features, then all numbers
+        found = rows_of(texts_of(b))
+        rows = [pa.compress(ids.astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for ids, n in found]
+        yield pa.record_batch([column(b, "key"), column(b, "label"), pa.array([len(x) for x, _ in found], pa.int32()), pa.array(rows, pa.binary())], names=["key", "label", "n", "features"])
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(data, 6 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint16, n).astype(np.int64), np.frombuffer(raw, np.uint32, n, 2 * n).astype(np.int64)
 
 
 def _trainer(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((r["key"], r["label"], r["ids"], r["shares"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
-        model = train([(np.frombuffer(r[2], np.int32).astype(np.int64), np.frombuffer(r[3], np.float64)) for r in rows], [r[1] for r in rows], idf.value)
+        rows = sorted(((r["key"], r["label"], r["n"], r["features"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        model = train([_unpacked(*r[2:]) for r in rows], [r[1] for r in rows], idf.value)
         there = np.flatnonzero(np.abs(model.weights).sum(axis=1))
         yield pa.record_batch({"model": pa.array([pickle.dumps((model.languages, there, model.weights[there], model.bias, model.temperature))], pa.binary())})
 
@@ -195,7 +200,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_la
     key = F.xxhash64("text", "label")
     chosen = texts.where("label is not null").select(key.alias("key")).distinct().orderBy("key").limit(max_labelled)
     sample = texts.where("label is not null").select(key.alias("key"), "text", "label").join(F.broadcast(chosen), "key")
-    featured = map_arrow(sample, _featured, "key long, label string, ids binary, shares binary").dropDuplicates(["key"])
+    featured = map_arrow(sample, _featured, "key long, label string, n int, features binary").dropDuplicates(["key"])
     found = map_arrow(featured.coalesce(1), _trainer(spark.sparkContext.broadcast(idf)), "model binary").first()
     if found is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
