@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from stepweave.operators import shards
 from stepweave.sources import adapters as S
 from stepweave.sources import examples, records
 
@@ -51,3 +53,23 @@ def test_checksums_of_all_lengths():
 def test_steps_are_shuffled_once(spark):
     text = plan(S.order_steps(spark, DATA).groupBy("episode_id").count())
     assert text.count("Exchange hashpartitioning(episode_id") == text.count("Exchange hashpartitioning") == 2  # lines and orders
+
+
+def test_shards_do_not_depend_on_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET", 7)
+    draw = random.Random(2)
+    sizes = [(k * 3, draw.choice((0, 1, 2, 9, 30, 120))) for k in range(300)]
+    expected, used, shard = [], 0, 0
+    for k, n in sizes:
+        expected.append((k, shard))
+        used += n
+        if used >= 40:
+            shard, used = shard + 1, 0
+    last = {s: k for k, (_, s) in enumerate(expected)}
+    got = shards.flush_shards(spark.createDataFrame(sizes, "episode_index long, num_steps long"), 40, 5).orderBy("episode_index").collect()
+    assert [tuple(r) for r in got] == [(k, s, last[s] // 5, f"chunk-{last[s] // 5:03d}/steps_{s:05d}.parquet") for k, s in expected]
+
+
+def test_one_task_places_shards_and_makes_nothing_else(spark):
+    sizes = S.order_steps(spark, DATA).groupBy("episode_id").agg(F.min("episode_index").alias("episode_index"), F.count("*").alias("num_steps"))
+    assert "Coalesce 1" not in plan(shards.flush_shards(sizes)) + plan(shards.pack(sizes, 40))
