@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -126,16 +127,31 @@ def _resizer(size: tuple[int, int] | None, how: str, hwc: bool, chw_out: bool, d
     """Looks at the images' entries only; all else goes through as it came."""
     resize = _RESIZE[how]
 
-    def one(data: bytes, kind: str, shape: list[int]) -> np.ndarray:
-        x = np.frombuffer(data, dtype=kind).reshape(shape)
-        if hwc and x.shape[0] in (1, 3, 4) and x.shape[0] < x.shape[1]:
-            x = x.transpose(1, 2, 0)
-        if size:
-            x = resize(x, *size)
+    def alike(data: list[bytes], kind: str, shape: tuple[int, ...]) -> np.ndarray:
+        """Images of one type and shape, one after the other: (image, height, width, channel)."""
+        x = np.frombuffer(b"".join(data), dtype=kind).reshape(len(data), *shape)
+        if hwc and shape[0] in (1, 3, 4) and shape[0] < shape[1]:
+            x = x.transpose(0, 2, 3, 1)
+        if size:  # as one image of many channels
+            n, h, w, c = x.shape
+            x = resize(np.ascontiguousarray(x.transpose(1, 2, 0, 3)).reshape(h, w, n * c), *size).reshape(*size, n, c).transpose(2, 0, 1, 3)
         if chw_out:
-            x = x.transpose(2, 0, 1)
+            x = x.transpose(0, 3, 1, 2)
         return np.ascontiguousarray(x.astype(dtype) if dtype else x)
 
+    def every(data: list[bytes], kinds: list[str], shapes: list[list[int]]) -> list[np.ndarray]:
+        groups: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(kinds, map(tuple, shapes), strict=True)):
+            groups.setdefault(key, []).append(k)
+        out: list[Any] = [None] * len(data)
+        for (kind, shape), places in groups.items():
+            step = max(1, (8 << 20) // max(1, len(data[places[0]])))  # some MB at a time
+            for a in range(0, len(places), step):
+                part = places[a : a + step]
+                for k, x in zip(part, alike([data[k] for k in part], kind, shape), strict=True):
+                    out[k] = x
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = b.column(b.schema.get_field_index("observation"))
@@ -144,7 +160,7 @@ def _resizer(size: tuple[int, int] | None, how: str, hwc: bool, chw_out: bool, d
             ok = pc.and_(pc.and_(pc.match_substring(keys, "image"), data.is_valid()), pc.equal(pc.fill_null(pc.list_value_length(shape), 0), 3))
             ok = pc.fill_null(ok, False)
             places = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
-            made = [one(d, k, s) for d, k, s in zip(data.take(pa.array(places)).to_pylist(), kind.take(pa.array(places)).to_pylist(), shape.take(pa.array(places)).to_pylist(), strict=True)]
+            made = every(*[x.take(pa.array(places)).to_pylist() for x in (data, kind, shape)])
             dims = shape.to_pylist()
             was = {}
             for p, x in zip(places.tolist(), made, strict=True):
@@ -155,8 +171,8 @@ def _resizer(size: tuple[int, int] | None, how: str, hwc: bool, chw_out: bool, d
             observation = pa.MapArray.from_arrays(m.offsets, keys, struct, type=m.type, mask=m.is_null() if m.null_count else None)
             columns = [observation if n == "observation" else b.column(b.schema.get_field_index(n)) for n in names]
             if shapes:
-                bounds, every = m.offsets.to_pylist(), keys.to_pylist()
-                columns.append(pa.array([[(every[p], was[p]) for p in range(i, j) if p in was] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.map_(pa.string(), pa.list_(pa.int32()))))
+                bounds, of = m.offsets.to_pylist(), keys.to_pylist()
+                columns.append(pa.array([[(of[p], was[p]) for p in range(i, j) if p in was] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.map_(pa.string(), pa.list_(pa.int32()))))
             yield pa.record_batch(columns, names=[*names, *["image_shapes"] * shapes])
 
     return run
@@ -212,15 +228,20 @@ def with_task_ids(texts: DataFrame) -> DataFrame:
     return texts.join(task_catalog(texts), "task_text").select("episode_id", "episode_index", "task_id", "task_text")
 
 
-def _repaired(dt: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step_index", kind="stable")
-        out, last = [], None
-        for i, t in zip(pdf["step_index"], pdf["timestamp"], strict=True):
-            t = i * dt if t is None or t != t else t
-            last = t if last is None or t > last else last + dt
-            out.append(last)
-        return pd.DataFrame({"episode_id": pdf["episode_id"], "step_index": pdf["step_index"], "timestamp": out})
+def _repaired(dt: float) -> Callable[[Column], Column]:
+    """Of lists of known times the repaired ones."""
+
+    def one(times: np.ndarray | None) -> list[float] | None:
+        if times is None:
+            return None
+        out: list[float] = []
+        for t in times.tolist():
+            out.append(t if not out or t > out[-1] else out[-1] + dt)
+        return out
+
+    @F.pandas_udf("array<double>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(one, na_action="ignore")
 
     return run
 
@@ -234,20 +255,19 @@ def repair_timestamps(rate_hz: float = 10.0, fold_steps: int = FOLD_STEPS) -> Tr
     dt = 1.0 / rate_hz
 
     def run(df: DataFrame) -> DataFrame:
-        narrow = df.select("episode_id", "step_index", "timestamp")
-        known = F.coalesce(F.col("timestamp"), F.col("step_index") * F.lit(dt))
-        lists = narrow.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("step_index", known.alias("t")))).alias("s"))
+        # NaN is as good as missing
+        known = F.coalesce(F.nanvl(F.col("timestamp"), F.lit(None).cast("double")), F.col("step_index") * F.lit(dt))
+        lists = df.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("step_index", known.alias("t")))).alias("s"))
         empty = F.array().cast("array<double>")
 
         def step(acc: Column, x: Column) -> Column:
             last = F.element_at(acc, -1)
             return F.when(F.size(acc) == 0, F.array(x["t"])).otherwise(F.concat(acc, F.array(F.when(x["t"] > last, x["t"]).otherwise(last + F.lit(dt)))))
 
-        short = lists.where(F.size("s") <= fold_steps).withColumn("r", F.aggregate("s", empty, step))
-        short = short.select("episode_id", F.explode(F.arrays_zip("s", "r")).alias("z")).select("episode_id", F.col("z.s.step_index").alias("step_index"), F.col("z.r").alias("timestamp"))
-        long = narrow.groupBy("episode_id").agg(F.count("*").alias("n")).where(F.col("n") > fold_steps).select("episode_id")
-        long = narrow.join(long, "episode_id", "left_semi").groupBy("episode_id").applyInPandas(_repaired(dt), "episode_id string, step_index int, timestamp double")
-        fixed = short.union(long).withColumnRenamed("timestamp", "_t")
+        # long episodes' times go through Python, of all others it sees a null
+        long = _repaired(dt)(F.when(F.size("s") > fold_steps, F.col("s.t")))
+        both = lists.withColumn("l", long).withColumn("r", F.when(F.size("s") <= fold_steps, F.aggregate("s", empty, step)).otherwise(F.col("l")))
+        fixed = both.select("episode_id", F.explode(F.arrays_zip("s", "r")).alias("z")).select("episode_id", F.col("z.s.step_index").alias("step_index"), F.col("z.r").alias("_t"))
         return df.join(fixed, ["episode_id", "step_index"]).withColumn("timestamp", F.col("_t")).select(*df.columns)
 
     return run

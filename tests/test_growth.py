@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stepweave.operators import shards
+from stepweave.operators import transforms as T
+from stepweave.operators import validators as V
 from stepweave.sources import adapters as S
 from stepweave.sources import examples, records
 
@@ -73,3 +76,38 @@ def test_shards_do_not_depend_on_buckets(spark, monkeypatch):
 def test_one_task_places_shards_and_makes_nothing_else(spark):
     sizes = S.order_steps(spark, DATA).groupBy("episode_id").agg(F.min("episode_index").alias("episode_index"), F.count("*").alias("num_steps"))
     assert "Coalesce 1" not in plan(shards.flush_shards(sizes)) + plan(shards.pack(sizes, 40))
+
+
+def test_tasks_become_more_as_files_do(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_BYTES", 1000)
+    text = plan(S.order_steps(spark, DATA))
+    assert int(text.split("Exchange hashpartitioning(episode_id#")[1].split(", ")[1].split(")")[0]) > 40
+
+
+def test_no_windows_or_copies_of_rows_for_distinct_counts(spark):
+    steps = S.order_steps(spark, DATA)
+    assert plan(V.structure(steps)).count("Window") <= plan(steps).count("Window")
+    assert "Expand" not in plan(V.coded(steps))
+
+
+def test_repair_reads_steps_twice_at_most(spark):
+    fixed = S.order_steps(spark, DATA).transform(T.repair_timestamps())
+    assert "FlatMapGroupsInPandas" not in plan(fixed) and plan(fixed).count("FileScan") <= 4  # lines and orders
+
+
+def test_report_makes_findings_once(spark):
+    findings = spark.createDataFrame([("a", "ERROR"), ("a", "WARN"), ("b", "WARN"), ("x", "INFO")], "episode_id string, severity string").repartition(3)
+    episodes = spark.createDataFrame([("a",), ("b",), ("c",)], "episode_id string")
+    report = V.report(episodes, findings)
+    assert plan(report).count("RoundRobinPartitioning(3)") == 1 and tuple(report.first()) == (3, 1, 1, 1, 1, 2, 1)
+    assert tuple(V.report(episodes.limit(0), findings.limit(0)).first()) == (0,) * 7
+
+
+def test_images_of_several_shapes_are_resized_as_one_by_one():
+    draw = np.random.default_rng(3)
+    for how in T._RESIZE:
+        for kind in ("uint8", "float32"):
+            images = [draw.integers(0, 255, (5, 7, 3)).astype(kind) for _ in range(9)]
+            joined = np.stack(images).transpose(1, 2, 0, 3).reshape(5, 7, 27)
+            got = T._RESIZE[how](joined, 3, 4).reshape(3, 4, 9, 3).transpose(2, 0, 1, 3)
+            assert all(np.array_equal(x, T._RESIZE[how](i, 3, 4)) for x, i in zip(got, images, strict=True))
